@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import FOLD, cut, per_row, table
 
 SEED, WORDS, RADIUS = 42, 3, 2
@@ -74,33 +75,6 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the least node reachable, for every node of the edges (a, b).
-
-    Alternating large-star and small-star contractions; each round is cut off in the shared folder.
-    """
-    def sums(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
-        least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).withColumn("m", F.least("c", "m"))
-        met = both.join(least, F.col("a") == F.col("c"))
-        if large:
-            return met.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        return met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").filter("a != b").distinct()
-
-    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct())
-    had = sums(e)
-    while had[0]:
-        e = cut(star(star(e, True), False))
-        now = sums(e)
-        if now == had:
-            break
-        had = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """id, fp, component_id, links: one row per input row.
 
