@@ -26,7 +26,7 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 SSN_WORDS = r"(?i)\b(?:ssn|social security|taxpayer)\b"
 AGAINST = r"(?i)\b(?:order|invoice|part|serial|isbn)\b"
 #: Code points before a proposal in which words count, the score of a bare pattern, of words for and against, and the least score.
-CONTEXT, BARE, FOR, MINUS, LEAST = 40, 0.3, 0.5, 0.2, 0.6
+CONTEXT, BARE, FOR, MINUS, LEAST = 40, 0.3, 0.5, 0.4, 0.6
 BASE = ("email", "ip", "card", "phone")
 CHUNK = 256
 
