@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import per_row, table
 
 #: Labelled rows that training takes at most (the first by hash of the id), hash buckets, vector size, passes, step.
-TRAIN, BUCKETS, DIM, EPOCHS, RATE, SEED = 3000, 1 << 17, 12, 6, 0.35, 11
+TRAIN, BUCKETS, DIM, EPOCHS, RATE, SEED = 1500, 1 << 17, 12, 8, 0.35, 11
 GRAMS, FOLDS, THRESHOLD, CACHE = (3, 4), 5, 0.3, 500_000
 REPEAT = "\0="
 
@@ -57,15 +57,20 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float
     prior = float(np.log(share / (1 - share)))
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), prior
+    # Features of all rows stand in two flat arrays: a driver has little memory, and these go back whole.
     known: dict[str, np.ndarray] = {}
-    rows = [_counts(t, known) for t in texts]
+    each = [_counts(t, known) for t in texts]
+    del known
+    ends = np.cumsum([0, *(len(ids) for ids, _ in each)])
+    flat_ids, flat_parts = np.concatenate([ids for ids, _ in each]), np.concatenate([part for _, part in each])
+    del each
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.array([0, prior], np.float32)
     rare = np.minimum(3.0, len(y) / 2 / np.maximum(np.bincount(y, minlength=2), 1))
-    steps = EPOCHS * len(rows)
-    for step, i in enumerate(np.concatenate([rng.permutation(len(rows)) for _ in range(EPOCHS)])):
-        ids, part = rows[i]
+    steps = EPOCHS * len(y)
+    for step, i in enumerate(np.concatenate([rng.permutation(len(y)) for _ in range(EPOCHS)])):
+        ids, part = flat_ids[ends[i] : ends[i + 1]], flat_parts[ends[i] : ends[i + 1]]
         hidden = part @ vectors[ids] if len(ids) else np.zeros(DIM, np.float32)
         z = out @ hidden + bias
         p = np.exp(z - z.max())
@@ -123,7 +128,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(limit)
     rows = df.select(F.col(id_col).alias("_id2"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_id2") == F.col("_id")).select("_id", "_y", "_t").collect()
     rows.sort(key=lambda r: (r._id, r._y, r._t or ""))
-    return train([r._t for r in rows], [r._y for r in rows])
+    texts, labels = [r._t for r in rows], [r._y for r in rows]
+    del rows
+    return train(texts, labels)
 
 
 def score_quality(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
