@@ -141,9 +141,9 @@ def decoded_props(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), json_has_only(F.col("props"), ["k"]).alias("strict"))
 
 
-@query("SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS position, round(unnest(embedding)::DOUBLE, 5) AS value FROM embeddings")
+@query("SELECT vec_id, generate_subscripts(embedding, 1)::BIGINT - 1 AS position, unnest(embedding)::DOUBLE AS value FROM embeddings")
 def zip_explode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "v")).select("vec_id", F.col("position").cast("long").alias("position"), F.round(F.col("v").cast("double"), 5).alias("value"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "v")).select("vec_id", F.col("position").cast("long").alias("position"), F.col("v").cast("double").alias("value"))
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_extendedprice::DECIMAL(18, 2))::DECIMAL(38, 2)::VARCHAR AS total, count(*) AS n FROM lineitem GROUP BY ALL")
