@@ -64,13 +64,13 @@ def manifest_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("l_orderkey", "l_linenumber", F.lower(F.hex(archives.manifest_hash())).alias("manifest_hash"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_orderkey::DECIMAL(20, 0) END AS number, CASE WHEN o_custkey % 3 > 0 THEN '0x' || sha256(o_orderkey::VARCHAR) END AS block_hash, CASE WHEN o_custkey % 3 = 0 THEN 'malformed' END AS error FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN o_orderkey END AS number, CASE WHEN o_custkey % 3 > 0 THEN '0x' || sha256(o_orderkey::VARCHAR) END AS block_hash, CASE WHEN o_custkey % 3 = 0 THEN 'malformed' END AS error FROM orders""")
 def recorded_blocks_strict(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as recorded blocks; those of every third customer carry a key that the format does not know."""
     own = F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256)
     extra = F.when(F.col("o_custkey") % 3 == 0, ',"more":1').otherwise("")
     raw = F.format_string('{"number":"%s","hash":"0x%s","parentHash":"0x%s","transactions":[],"source":"s","capture_scope":"c"%s}', codecs.to_quantity(F.col("o_orderkey")), own, own, extra)
-    return records.recorded_blocks(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw_json"))).select("o_orderkey", "number", "block_hash", "error")
+    return records.recorded_blocks(table(spark, sf, "orders").select("o_orderkey", raw.alias("raw_json"))).select("o_orderkey", F.col("number").cast("long").alias("number"), "block_hash", "error")
 
 
 #: Hex of the low bytes of a number, least significant first.
@@ -78,14 +78,14 @@ _LITTLE = "array_to_string(list_reverse(regexp_extract_all(printf('%0{}x', {}),
 
 
 @query(f"""WITH t AS (SELECT o_orderkey, o_custkey, sha256(o_custkey::VARCHAR) AS previous, '51' AS script FROM orders), r AS (SELECT *, '0100000001' || previous || {_LITTLE.format(8, "o_orderkey")} || '00ffffffff01' || {_LITTLE.format(16, "o_orderkey")} || '01' || script || '00000000' AS raw FROM t)
-SELECT o_orderkey, array_to_string(list_reverse(regexp_extract_all(sha256(unhex(sha256(unhex(raw)))), '..')), '') AS txid, array_to_string(list_reverse(regexp_extract_all(previous, '..')), '') AS previous_txid, o_orderkey AS previous_vout, o_orderkey::DECIMAL(20, 0) AS value_sats, sha256(unhex(script)) AS script_pubkey_id, length(raw)::BIGINT // 2 AS virtual_size FROM r""")
+SELECT o_orderkey, array_to_string(list_reverse(regexp_extract_all(sha256(unhex(sha256(unhex(raw)))), '..')), '') AS txid, array_to_string(list_reverse(regexp_extract_all(previous, '..')), '') AS previous_txid, o_orderkey AS previous_vout, o_orderkey AS value_sats, sha256(unhex(script)) AS script_pubkey_id, length(raw)::BIGINT // 2 AS virtual_size FROM r""")
 def consensus_transactions(spark: SparkSession, sf: str) -> DataFrame:
     """Each order as the bytes of a transaction with one input and one output, parsed back."""
     key = F.col("o_orderkey")
     raw = F.concat(F.lit("0100000001"), F.sha2(F.col("o_custkey").cast("string").cast("binary"), 256), codecs.reversed_bytes(F.lpad(F.hex(key), 8, "0")), F.lit("00ffffffff01"), codecs.reversed_bytes(F.lpad(F.hex(key), 16, "0")), F.lit("015100000000"))
     parsed = table(spark, sf, "orders").select("o_orderkey", consensus.parse_transactions(F.unhex(raw)).alias("p")).select("o_orderkey", "p.value")
     first = parsed.select("o_orderkey", "value.txid", "value.virtual_size", F.col("value.inputs")[0].alias("i"), F.col("value.outputs")[0].alias("o"))
-    return first.select("o_orderkey", "txid", "i.previous_txid", "i.previous_vout", "o.value_sats", F.sha2("o.script_pubkey", 256).alias("script_pubkey_id"), "virtual_size")
+    return first.select("o_orderkey", "txid", "i.previous_txid", "i.previous_vout", F.col("o.value_sats").cast("long").alias("value_sats"), F.sha2("o.script_pubkey", 256).alias("script_pubkey_id"), "virtual_size")
 
 
 @query("""SELECT o_orderkey AS block_number, l_linenumber::BIGINT AS log_index, md5(l_partkey::VARCHAR) AS transaction_hash, lower(hex(l_returnflag)) AS raw_data_hex FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
