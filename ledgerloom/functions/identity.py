@@ -147,3 +147,13 @@ def observation_ids(source: Column, session: Column, sequence: Column, payload:
         return pd.Series([None if a is None or b is None or c != c or d is None else observation_id(a, bytes(b), int(c), bytes(d)).hex() for a, b, c, d in zip(s, z, n, p, strict=True)], dtype=object)
 
     return run(source, session, sequence, payload)
+
+
+def blake3_hex(data: Column) -> Column:
+    """BLAKE3 of binary values, lowercase hex, an Arrow batch at a time; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else blake3(bytes(v)).hex() for v in values], dtype=object)
+
+    return run(data)

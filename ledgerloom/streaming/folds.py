@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
@@ -165,41 +166,70 @@ def membership_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
 
 
 def canonical_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """Account-chain head: commit, reorg and finalize over a list of hashes by number.
+    """Account-chain head: commit, reorg and finality over a list of hashes by number.
 
-    commit {parent, blocks}; reorg {old, parent, blocks} with old the canonical suffix; finalize {hash}. Revisions of
-    reorged blocks fall, then the new ones rise. A finalized block is never reorged.
+    commit {parent, blocks}; reorg {old, parent, blocks} with old the canonical suffix; finalize {hash}; checkpoint
+    {head, safe, finalized}, which tells what moved, safe first; observe {head, finalized, at}, with `at` rising, which
+    always tells. head must be the head, and finality never goes back. Revisions of reorged blocks fall, then the new
+    ones rise. A finalized block is never reorged; a safe block that is reorged is safe no more, without a revision.
     """
-    chain, final, n = list(state.get("chain", [])), state.get("finalized", -1), state.get("revision", 0)
+    chain, safe, final, n = list(state.get("chain", [])), state.get("safe", -1), state.get("finalized", -1), state.get("revision", 0)
     out: list[dict] = []
+    more: dict = {}
 
     def tell(h: str, status: str) -> None:
         out.append({"revision": n + len(out) + 1, "hash": h, "finality": status})
 
-    if row["action"] == "finalize":
-        if row["hash"] not in chain or chain.index(row["hash"]) < final:
-            raise Refused("not canonical, or before the finalized block")
-        if chain.index(row["hash"]) > final:
-            final = chain.index(row["hash"])
-            tell(row["hash"], "finalized")
+    def places(*names: str) -> list[int]:
+        if any(row[k] not in chain for k in names):
+            raise Refused("not canonical")
+        return [chain.index(row[k]) for k in names]
+
+    action = row["action"]
+    if action in ("finalize", "checkpoint", "observe"):
+        names = {"finalize": ("hash",), "checkpoint": ("finalized", "safe", "head"), "observe": ("finalized", "head")}[action]
+        at = places(*names)
+        if at != sorted(at) or action != "finalize" and at[-1] != len(chain) - 1:
+            raise Refused("not the head, or in no order of ancestry")
+        if at[0] < final or action == "checkpoint" and at[1] < safe:
+            raise Refused("finality went back")
+        if action == "observe":
+            if row["at"] <= state.get("observed_at", row["at"] - 1):
+                raise Refused("time went back")
+            more = {"observed_at": row["at"]} | ({"changed_at": row["at"]} if at[0] > final else {})
+            tell(row["finalized"], "fast_finalized")
+        else:
+            if action == "checkpoint" and at[1] > safe:
+                safe = at[1]
+                tell(row["safe"], "safe")
+            if at[0] > final:
+                tell(row[names[0]], "finalized")
+        final = at[0]
     else:
-        if row["action"] == "reorg":
+        blocks = list(row["blocks"])
+        if action == "reorg":
             old = list(row["old"])
-            if not old or chain[-len(old) :] != old:
-                raise Refused("the old blocks are not the end of the chain")
+            if not old or not blocks or chain[-len(old) :] != old:
+                raise Refused("nothing old or new, or the old blocks are not the end of the chain")
             if final >= len(chain) - len(old):
                 raise Refused("a finalized block would be reorged")
             for h in reversed(old):
                 tell(h, "reorged")
             chain = chain[: -len(old)]
-        if not row["blocks"] or row["blocks"] == chain[-len(row["blocks"]) :]:
+            safe = -1 if safe >= len(chain) else safe
+        elif not blocks or blocks == chain[-len(blocks) :]:
             return state, []
         if chain and row["parent"] != chain[-1]:
             raise Refused("the blocks do not extend the head")
-        for h in row["blocks"]:
+        for h in blocks:
             chain.append(h)
             tell(h, "canonical_head")
-    return {"chain": chain, "finalized": final, "revision": n + len(out)}, out
+    return state | more | {"chain": chain, "safe": safe, "finalized": final, "revision": n + len(out)}, out
+
+
+def _packed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Keys, the order, and each row as JSON, so that whole numbers, nulls and lists come out of pandas as they went in."""
+    return df.select(*keys, F.col(order).alias("_order"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_row"))
 
 
 def fold_batch(df: DataFrame, keys: list[str], order: str, step: Step, schema: str) -> DataFrame:
@@ -208,12 +238,13 @@ def fold_batch(df: DataFrame, keys: list[str], order: str, step: Step, schema: s
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = {}, []
-        for row in rows.sort_values(order, kind="stable").to_dict("records"):
-            state, told = step(state, row)
-            out += [{k: row[k] for k in keys} | t for t in told]
+        own = {k: rows[k].iloc[0] for k in keys}
+        for row in rows.sort_values("_order", kind="stable")["_row"]:
+            state, told = step(state, json.loads(row))
+            out += [own | t for t in told]
         return pd.DataFrame(out, columns=names)
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return _packed(df, keys, order).groupBy(*keys).applyInPandas(run, schema)
 
 
 def fold_stream(df: DataFrame, keys: list[str], order: str, step: Step, schema: str) -> DataFrame:
@@ -222,10 +253,10 @@ def fold_stream(df: DataFrame, keys: list[str], order: str, step: Step, schema:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state, out = json.loads(held.get[0]) if held.exists else {}, []
-        for row in pd.concat(list(batches)).sort_values(order, kind="stable").to_dict("records"):
-            state, told = step(state, row)
+        for row in pd.concat(list(batches)).sort_values("_order", kind="stable")["_row"]:
+            state, told = step(state, json.loads(row))
             out += [dict(zip(keys, key, strict=True)) | t for t in told]
-        held.update((json.dumps(state, default=lambda x: x.item()),))
+        held.update((json.dumps(state),))
         yield pd.DataFrame(out, columns=names)
 
-    return df.groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    return _packed(df, keys, order).groupBy(*keys).applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)

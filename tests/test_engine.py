@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import codecs, identity
 from ledgerloom.operators import graph, joins, sequences
-from ledgerloom.plans import store_queries  # noqa: F401 - registers its queries
+from ledgerloom.plans import rule_queries, store_queries  # noqa: F401 - registers its queries
 from ledgerloom.plans.driver_queries import QUERIES, SQL
 from ledgerloom.streaming import folds
 
