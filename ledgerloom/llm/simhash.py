@@ -10,17 +10,22 @@ differ. Only distinct fingerprints are joined, so copies cost nothing and a fing
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from .common import FOLD, cut, per_row, table
 
 SEED, WORDS, RADIUS = 42, 3, 2
-#: Near duplicates by similarity: words of a shingle, least Jaccard similarity, sampled fingerprints a text, shingles of each sample.
-NEAR_WORDS, SIMILARITY, ROUNDS, SAMPLE = 5, 0.8, 8, 3
+#: Near duplicates by similarity: words of a shingle, least Jaccard similarity, members of a block of pairs, bits of a set's parity.
+NEAR_WORDS, SIMILARITY, BLOCK, BITS = 5, 0.8, 1000, 1024
+#: One document in how many is sampled for common shingles, the count there that makes one common, and how many are taken at most.
+HOT_OF, HOT_LEAST, HOT_MOST = 8, 4, 300_000
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -99,79 +104,114 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "links")
 
 
-def sampled(text: str | None, words: int, rounds: int) -> tuple[list[int], int]:
-    """Fingerprints of `rounds` min-wise samples of SAMPLE distinct shingles each, and the hash of the word sequence."""
-    h = np.unique(hashes(text, words))
-    if not len(h):
-        return [], 0
-    out = []
-    for r in range(rounds):
-        mixed = (h ^ np.uint64(0x9E3779B97F4A7C15 * (r + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        pick = h[np.argpartition(mixed, SAMPLE - 1)[:SAMPLE]] if len(h) > SAMPLE else h
-        out.append(signed(majority(pick)))
-    return out, signed(xxhash.xxh64_intdigest(b" ".join((text or "").encode().translate(FOLD).split()), 7))
+def prefix_length(size: int, similarity: float) -> int:
+    """Of two sets that reach the similarity, the first so many members of each, in one common order, share one."""
+    return size - math.ceil(similarity * size - 1e-9) + 1
+
+
+def lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """BITS bits: for each, whether the set has an odd number of members there. Sets differ in at least as many members as parities in bits."""
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def frequent(ids: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that one document in HOT_OF shows to be common, sorted, and their counts there; at most HOT_MOST."""
+
+    def make():
+        return lambda texts: [lists([np.unique(hashes(t, words)) for t in texts])]
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = NEAR_WORDS, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+    some = per_row(ids.filter(F.pmod(F.xxhash64("id"), F.lit(HOT_OF)) == 0), [], "body", {"set": "array<long>"}, make)
+    n = some.select(F.explode("set").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= HOT_LEAST)
+    t = n.orderBy(F.desc("n"), "s").limit(HOT_MOST).toArrow()
+    s, n = t["s"].to_numpy().astype(np.int64).view(np.uint64), t["n"].to_numpy().astype(np.int64)
+    at = np.argsort(s)
+    return s[at], n[at]
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = NEAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """id, group_id for the rows that belong to a group of near duplicates: group_id is the group's least id.
 
-    Two texts are near when the Jaccard similarity of their sets of word shingles reaches `similarity`. A 64-bit
-    fingerprint of all shingles spreads such pairs over some 10 bits, beyond any radius that a join can search, so
-    candidates come from fingerprints of small min-wise samples of the shingles as well: the same majority over 3
-    shingles, drawn in `rounds` fixed orders, where near texts agree in all bits (chance similarity**3 each). The
-    full fingerprints go through `links`. In a bucket of equal fingerprints members are compared with a hub, the
-    member that meets most others, in three passes over what is still single. All candidates are verified on the whole
-    shingle sets. Texts of the same words are one class from the start. Null and empty texts are never grouped. Null
-    ids are ignored. Repeated ids count as one document.
+    Two texts are near when the Jaccard similarity of their sets of word shingles reaches `similarity`; groups are the
+    components of all near pairs, and none is missed. Candidates come from an exact prefix filter: sets are put into
+    one order, common shingles last, and near sets share one of their first |s| - ceil(similarity |s|) + 1. Which
+    shingles count as common is sampled; any order is exact, the sample only keeps groups small. First each text is
+    verified against the one of its shingles' hubs that it meets most. Then all pairs that share a prefix shingle and are
+    not in one component yet are verified, those of much-shared shingles in blocks of `block` members. Three exact
+    bounds (sizes, positions, parities of the sets) come before whole sets are compared. Texts of the same words are one
+    class from the start. Null and empty texts are never grouped. Null ids are ignored. Repeated ids count as one document.
     """
     ids = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    common = df.sparkSession.sparkContext.broadcast(frequent(ids, words))
 
     def make():
+        hot, times = common.value
+
+        def first(h: np.ndarray) -> np.ndarray:
+            keep = prefix_length(len(h), similarity)
+            if not len(h) or not len(hot):
+                return h[:keep]
+            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+            return h[np.argsort(np.where(hot[at] == h, times[at], 0), kind="stable")[:keep]]
+
         def work(texts: list) -> list[list]:
-            full, some, same = [], [], []
-            for t in texts:
-                f, s = sampled(t, words, rounds)
-                some.append(f)
-                same.append(s)
-                full.append(signed(majority(hashes(t, words))))
-            return [full, some, same]
+            sets = [np.unique(hashes(t, words)) for t in texts]
+            same = [signed(xxhash.xxh64_intdigest(b" ".join((t or "").encode().translate(FOLD).split()), 7)) for t in texts]
+            return [[len(h) for h in sets], lists([first(h) if len(h) else h for h in sets]), same]
 
         return work
 
-    docs = cut(per_row(ids, ["id"], "body", {"fp": "long", "some": "array<long>", "same": "long"}, make).filter(F.size("some") > 0))
-    classes = cut(docs.groupBy("same").agg(F.min("id").alias("cid"), F.min_by("fp", "id").alias("fp"), F.min_by("some", "id").alias("some")))
-    twins = docs.join(classes.select("same", "cid"), "same").filter("id != cid").select(F.col("id").alias("a"), F.col("cid").alias("b"))
-    cells = classes.select("cid", F.posexplode("some").alias("round", "cell")).unionByName(classes.select("cid", F.lit(-1).alias("round"), F.col("fp").alias("cell")))
-    crowd = cells.groupBy("round", "cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut(cells.join(crowd, ["round", "cell"]))
-    at = classes.select("fp", "cid").groupBy("fp").agg(F.min("cid").alias("cid"))
-    far = links(at.select("fp")).join(at.select(F.col("fp").alias("a"), F.col("cid").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("cid").alias("y")), "b").select("x", "y")
-    involved = met.select("cid").unionByName(far.select(F.explode(F.array("x", "y")).alias("cid"))).distinct()
-    texts = ids.join(involved, F.col("id") == F.col("cid"), "left_semi").groupBy("id").agg(F.min("body").alias("body"))
+    docs = cut(per_row(ids, ["id"], "body", {"size": "long", "first": "array<long>", "same": "long"}, make).filter("size > 0"))
+    classes = docs.groupBy("same").agg(F.min("id").alias("cid"), F.min_by(F.struct("size", "first"), "id").alias("v")).select("same", "cid", "v.*")
+    twins = docs.select("id", "same").join(docs.groupBy("same").agg(F.min("id").alias("cid")), "same").filter("id != cid").select(F.col("id").alias("a"), F.col("cid").alias("b"))
+    cells = classes.select("cid", "size", F.posexplode("first").alias("at", "cell"))
+    met = cut(cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
+    texts = ids.join(met.select("cid").distinct(), F.col("id") == F.col("cid"), "left_semi").groupBy("id").agg(F.min("body").alias("body"))
 
     def sets():
-        return lambda bodies: [[np.unique(hashes(t, words)).view(np.int64).tolist() for t in bodies]]
+        def work(bodies: list) -> list:
+            each = [np.unique(hashes(t, words)) for t in bodies]
+            return [lists(each), lists([parity(h) for h in each])]
+
+        return work
+
+    shingles = cut(per_row(texts, ["id"], "body", {"set": "array<long>", "bits": "array<long>"}, sets))
 
-    shingles = cut(per_row(texts, ["id"], "body", {"set": "array<long>"}, sets))
+    def side(column: str, name: str) -> DataFrame:
+        return shingles.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"), F.size("set").alias(f"n_{name}"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(shingles.select(F.col("id").alias("x"), F.col("set").alias("sx")), "x").join(shingles.select(F.col("id").alias("y"), F.col("set").alias("sy")), "y")
-        common = F.size(F.array_intersect("sx", "sy"))
-        return both.filter(common >= similarity * (F.size("sx") + F.size("sy") - common)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-    found = cut(verify(far))
-    single = met
-    for _ in range(3):
-        score = single.groupBy("cid").agg(F.sum("n").alias("score"))
-        ranked = single.join(score, "cid")
-        hubs = ranked.groupBy("round", "cell").agg(F.max_by("cid", F.struct("score", -F.col("cid"))).alias("hub"), F.count(F.lit(1)).alias("left")).filter("left > 1")
-        pairs = single.join(hubs.select("round", "cell", "hub"), ["round", "cell"]).filter("cid != hub").select(F.col("cid").alias("x"), F.col("hub").alias("y")).distinct()
-        now = cut(verify(pairs))
-        found = found.unionByName(now)
-        done = now.select(F.col("a").alias("cid")).unionByName(hubs.select(F.col("hub").alias("cid"))).distinct()
-        single = cut(single.join(done, "cid", "left_anti"))
-    roots = components(found.unionByName(twins))
+        odd = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        most = (1 - similarity) / (1 + similarity) * (F.col("n_x") + F.col("n_y")) + 1e-6
+        close = cut(pairs.join(side("bits", "x"), "x").join(side("bits", "y"), "y").filter(odd <= most).select("x", "y"))
+        both = close.join(side("set", "x"), "x").join(side("set", "y"), "y")
+        shared = F.size(F.array_intersect("set_x", "set_y"))
+        return cut(both.filter(shared >= similarity * (F.col("n_x") + F.col("n_y") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    def possible(nx, ny, at_x, at_y):
+        """Sizes allow the similarity, and so do the members left if this shingle is the first that both have."""
+        return (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-6) & (F.least(nx - at_x, ny - at_y) >= similarity / (1 + similarity) * (nx + ny) - 1e-6)
+
+    score = met.groupBy("cid").agg(F.sum("n").alias("score"))
+    hubs = met.join(score, "cid").groupBy("cell").agg(F.max_by(F.struct("cid", "size", "at"), F.struct("score", -F.col("cid"))).alias("hub"))
+    meets = met.join(hubs, "cell").filter("cid != hub.cid").filter(possible(F.col("size"), F.col("hub.size"), F.col("at"), F.col("hub.at")))
+    best = meets.groupBy("cid", F.col("hub.cid").alias("y")).agg(F.count(F.lit(1)).alias("cells")).groupBy("cid").agg(F.max_by("y", F.struct("cells", -F.col("y"))).alias("y"))
+    found = verify(best.select(F.col("cid").alias("x"), "y"))
+    roots = components(found)
+    rooted = met.join(roots, F.col("cid") == F.col("node"), "left").select("cell", "cid", "size", "at", "n", F.coalesce("root", "cid").alias("root"))
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("cell")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    still = cut(rooted.join(mixed, "cell", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = still.select("cell", F.col("cid").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"), F.col("own").alias("i"), other.alias("j"))
+    right = still.select("cell", F.col("cid").alias("y"), F.col("size").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), other.alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, ["cell", "i", "j"]).filter("x < y AND rx != ry").filter(possible(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"))).select("x", "y").distinct()
+    roots = components(found.unionByName(verify(pairs)).unionByName(twins))
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
 
 

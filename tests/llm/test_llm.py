@@ -130,6 +130,40 @@ def test_near_duplicates_recall(spark):
     assert all(a // 10 == b // 10 for a, b in got.items() if a < 1000)
 
 
+def brute_groups(rows, similarity=0.8):
+    sets = {}
+    for i, t in rows:
+        if w := (t or "").lower().split():
+            sets[i] = {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in sets:
+        for j in sets:
+            if i < j and (n := len(sets[i] & sets[j])) >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    groups = {i: find(i) for i in sets}
+    return {i: g for i, g in groups.items() if sum(x == g for x in groups.values()) > 1}
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_near_duplicates_of_families_are_complete(spark, block):
+    """Originals of the least, a middle and the largest id; the variants reach 0.8 mostly with the original alone."""
+    rng, rows, new = np.random.default_rng(9), [], iter(range(10**9))
+    passage = " ".join(f"license{k}" for k in range(60))
+    for g, (size, place) in enumerate([(4, 0), (4, 2), (4, 3)] * 6 + [(40, 0), (40, 20), (40, 39)] * 2):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for k in range(size):
+            near = list(words)
+            for at in rng.choice(300, 0 if k == place else int(rng.choice([4, 6, 9])), replace=False):
+                near[at] = f"new{next(new)}"
+            rows.append((g * 100 + k, " ".join(near) + (f" {passage}" if g % 2 else "")))
+    rows += [(9000 + k, " ".join(f"v{x}" for x in rng.integers(0, 900, n)) + f" {passage}") for k, n in enumerate([1, 2, 3, 5, 10, 20, 60, 200])]
+    rows += [(9100, "a"), (9101, "A"), (9102, "a b c d e f"), (9103, "a b c d e g")]
+    got = {r.doc_id: r.group_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == brute_groups(rows)
+
+
 def test_mix_is_near_its_targets(spark, odd):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}" if i % 10 else None) for i in range(3000)] + [(5000, None, "empty")], "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
