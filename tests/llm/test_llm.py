@@ -164,6 +164,12 @@ def test_near_duplicates_of_families_are_complete(spark, block):
     assert got == brute_groups(rows)
 
 
+def test_near_duplicates_need_no_common_sample(spark):
+    """A true pair that agrees in none of eight samples of three shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id IN (1798, 8873)")
+    assert {r.doc_id: r.group_id for r in simhash.near_duplicates(docs).collect()} == {1798: 1798, 8873: 1798}
+
+
 def test_mix_is_near_its_targets(spark, odd):
     df = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i % 3}" if i % 10 else None) for i in range(3000)] + [(5000, None, "empty")], "doc_id long, text string, source string")
     rows = mixing.mix(df).collect()
