@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the boilerplate lines of its source."""
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Every document, without the boilerplate lines of its source; copies, which later stages drop, count as one page."""
+    return line_dedup(docs, by_content=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

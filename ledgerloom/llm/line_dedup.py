@@ -22,22 +22,28 @@ def _key(line):
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
 
 
-def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", *, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """site, line hash (a, b), pages, total: the lines to drop. A page counts a line once; empty lines never count."""
-    lines = df.select(F.col(site_col).alias("site"), F.explode(F.array_distinct(F.split(whole(text_col), "\n"))).alias("line")).filter("line != ''")
-    seen = lines.select("site", _key(F.col("line")).alias("k")).groupBy("site", "k").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= min_pages)
-    totals = df.groupBy(F.col(site_col).alias("site2")).agg(F.count(F.lit(1)).alias("total"))
+def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", *, ratio: float = RATIO, min_pages: int = MIN_PAGES, by_content: bool = False) -> DataFrame:
+    """site, line hash (a, b), pages, total: the lines to drop. A page counts a line once; empty lines never count.
+
+    Pages are rows, or, by content, the distinct texts of a site: copies of a text then count once in pages and total.
+    """
+    pages = df.select(F.col(site_col).alias("site"), whole(text_col).alias("body"), _key(whole(text_col)).alias("page"))
+    lines = pages.select("site", "page", F.explode(F.array_distinct(F.split("body", "\n"))).alias("line")).filter("line != ''")
+    number = F.count_distinct("page") if by_content else F.count(F.lit(1))
+    seen = lines.select("site", "page", _key(F.col("line")).alias("k")).groupBy("site", "k").agg(number.alias("pages")).filter(F.col("pages") >= min_pages)
+    totals = pages.groupBy(F.col("site").alias("site2")).agg(number.alias("total"))
     both = seen.join(totals, F.col("site").eqNullSafe(F.col("site2")))
     return both.filter(F.col("pages") > ratio * F.col("total")).select("site", "k.a", "k.b", "pages", "total")
 
 
-def line_dedup(df: DataFrame, text_col: str = "text", site_col: str = "source", *, ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def line_dedup(df: DataFrame, text_col: str = "text", site_col: str = "source", *, ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_lines: int = BROADCAST_LINES, by_content: bool = False) -> DataFrame:
     """df with boilerplate lines removed from its text, and the columns lines_in and lines_dropped.
 
     Lines end at LF only. A null site is a site of its own; a null text counts as empty (and comes out empty). Every
-    row stays, even if its text becomes empty. Repeated rows are pages of their own. Other columns pass through.
+    row stays, even if its text becomes empty. Repeated rows are pages of their own, unless pages count by content: then
+    a text is not boilerplate for being copied. Other columns pass through.
     """
-    flagged = boilerplate(df, text_col, site_col, ratio=ratio, min_pages=min_pages)
+    flagged = boilerplate(df, text_col, site_col, ratio=ratio, min_pages=min_pages, by_content=by_content)
     by_site = flagged.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("_flagged"), F.count(F.lit(1)).alias("n")).persist()
     n = by_site.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     by_site = by_site.drop("n")

@@ -67,6 +67,15 @@ def test_line_dedup_sites_and_ratio(spark, odd):
     assert line_dedup.line_dedup(odd).count() == len(ODD) and line_dedup.line_dedup(odd.limit(0)).count() == 0
 
 
+def test_lines_of_a_large_group_of_copies_stay(spark):
+    import corpus_pipeline
+
+    copy, rows = "a copied text\nof two lines", [(i, f"Home\nline {i}", "en", "s", 0) for i in range(400)]
+    rows += [(1000 + i, "a copied text\nof two lines", "en", "s", 0) for i in range(200)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()}
+    assert len(got) == 600 and all(t == (copy if i >= 1000 else f"line {i}") for i, t in got.items())
+
+
 def brute_components(fps: dict, radius: int) -> dict:
     nodes, root = list(fps), {}
     for a in nodes:
