@@ -21,11 +21,27 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_OK = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?(?:\.|$)){4}"
 #: Beyond the contract: account numbers confirmed by mod 97, and personal numbers that need a word in favour nearby.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+#: Here the lengths of account numbers (ISO 13616, and the countries that use the form without being in its registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+
+
+def _account(length: int) -> str:
+    """The country's letters, and after them just as many characters as its numbers have, with or without spaces at each fourth."""
+    groups, rest = divmod(length - 4, 4)
+    return f"(?:{IBAN_LENGTHS[length].replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]{{4}}){{{groups}}}" + (f"\\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: Of letters that are no such country, 15 to 34 characters, up to where a known country's number may begin.
+_OTHER = rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20(?:{_KNOWN})[0-9]{{2}})\x20?[A-Z0-9]{{4}}){{2,7}}+(?:(?!\x20(?:{_KNOWN})[0-9]{{2}})\x20?[A-Z0-9]{{1,3}})?+"
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(map(_account, IBAN_LENGTHS))}|{_OTHER})(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 SSN_WORDS = r"(?i)\b(?:ssn|social security|taxpayer)\b"
 AGAINST = r"(?i)\b(?:order|invoice|part|serial|isbn)\b"
-#: Code points before a proposal in which words count, the score of a bare pattern, of words for and against, and the least score.
+#: Code points beside a proposal in which words count (in favour on both sides; against, which stand before what they name, only before it), the score of a bare pattern, of words for and against, and the least score.
 CONTEXT, BARE, FOR, MINUS, LEAST = 40, 0.3, 0.5, 0.4, 0.6
 BASE = ("email", "ip", "card", "phone")
 CHUNK = 256
@@ -60,9 +76,10 @@ def _digits(m: Column) -> Column:
     return F.regexp_replace(m, "[^0-9]", "")
 
 
-def _score(text: Column, start: Column) -> Column:
-    near = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    return BARE + F.when(near.rlike(SSN_WORDS), FOR).otherwise(0.0) - F.when(near.rlike(AGAINST), MINUS).otherwise(0.0)
+def _score(text: Column, start: Column, end: Column) -> Column:
+    before = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+    behind = F.substring(text, end + 1, F.lit(CONTEXT))
+    return BARE + F.when(before.rlike(SSN_WORDS) | behind.rlike(SSN_WORDS), FOR).otherwise(0.0) - F.when(before.rlike(AGAINST), MINUS).otherwise(0.0)
 
 
 #: kind, pattern, a cheap test that a text may hold one, validator of (match, text, start), in the order that ties take.
@@ -72,7 +89,7 @@ KINDS = (
     ("card", CARD, lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), lambda m, t, s: _luhn(_digits(m))),
     ("phone", PHONE, lambda t: F.contains(t, F.lit("+")), lambda m, t, s: F.length(_digits(m)).between(10, 15)),
     ("iban", IBAN, lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), lambda m, t, s: _mod97(m)),
-    ("ssn", SSN, lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), lambda m, t, s: _score(t, s) >= LEAST),
+    ("ssn", SSN, lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), lambda m, t, s: _score(t, s, s + F.length(m)) >= LEAST),
 )
 
 

@@ -256,6 +256,17 @@ def test_pii_against_brute_force(spark):
     assert [s.kind for s in got[5].pii] .count("iban") == 2 and [s.start for s in got[6].pii if s.kind == "ssn"] == [7]
 
 
+def test_pii_accounts_before_words_and_context_behind(spark):
+    texts = {
+        "AT61 1904 3002 3457 3201 BANK": ["iban:0:24"], "AT61 1904 3002 3457 3201 OK": ["iban:0:24"], "AT611904300234573201 BIC": ["iban:0:20"], "AT61 1904 3002 3457 3201 paid": ["iban:0:24"],
+        "DE89 3704 0044 0532 0130 00 AT61 1904 3002 3457 3201 GB82 WEST 1234 5698 7654 32 EUR 5": ["iban:0:27", "iban:28:52", "iban:53:80"], "NO93 8601 1117 947 NOK": ["iban:0:18"], "AT61 1904 3002 3457 3202 BANK": [],
+        "AB12 3456 7890 AT61 1904 3002 3457 3201": ["iban:15:39"], "AT611904300234573201BIC": [], "invoice AT611904300234573201": ["iban:8:28"],
+        "123-45-6789 (SSN)": ["ssn:0:11"], "123-45-6789 (part)": [], "order 123-45-6789 (SSN)": [], "é😀 123-45-6789 is a taxpayer": ["ssn:3:14"],
+    }
+    got = {r.text: [f"{s.kind}:{s.start}:{s.end}" for s in r.pii if s.kind not in pii.BASE] for r in pii.find_pii(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == texts
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=9000), min_size=1, max_size=4))
 def test_media_round_trip(raw):
