@@ -1,9 +1,11 @@
 """Exact dedup by progressive refinement.
 
 Length, then a hash of a short prefix, then a hash of everything; each level only looks at rows that the level before
-could not tell apart. What a level passes on is a bitmap over hashed keys (`2**bits` bits at most, 2 MB by default), so
-the broadcast is bounded whatever the input; a false positive only costs one more hash. Groups are found by a
-pre-aggregated `groupBy` on the full hash, so one text that holds a third of all rows never meets in one task.
+could not tell apart. Lengths and prefixes come out of one pass into a narrow table; what a level passes on is a bitmap
+over hashed keys (`2**bits` bits at most, 2 MB by default), so the broadcast is bounded whatever the input, and a false
+positive only costs one more hash. Whole texts are read in a second pass, for rows that both bitmaps pass. Where every
+digest is wanted anyway, that pass comes first and the narrow table keeps the digests: texts are read once. Groups are
+found by a pre-aggregated `groupBy`; large ones go back to their rows by broadcast, so none ever meets in one task.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, whole
+from .common import HEAVY, ascii_lower, cut, join_heavy, table, whole
 
 #: log2 of the bits of one level's bitmap: 2**24 bits are 2 MB.
 BITS = 24
@@ -22,44 +24,52 @@ def _slot(*keys: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
 
 
-def _bitmap(df: DataFrame, name: str) -> DataFrame:
-    """One row of 4 KB for each 32,768 slots in use."""
-    return df.groupBy(F.bitmap_bucket_number(name).alias(f"{name}_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(name)).alias(f"{name}_bits"))
+def _bitmap(slots: DataFrame) -> DataFrame:
+    """One row of 4 KB for each 32,768 slots in use, from a column `slot`."""
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
 
 
-def _passes(df: DataFrame, name: str, bitmap: DataFrame) -> DataFrame:
-    """df with a boolean column `<name>_in`: its slot is set in the bitmap."""
-    at = F.bitmap_bit_position(name)
-    byte = F.conv(F.hex(F.substring(f"{name}_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn(f"{name}_bucket", F.bitmap_bucket_number(name)).join(F.broadcast(bitmap), f"{name}_bucket", "left")
-    return joined.withColumn(f"{name}_in", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(f"{name}_bits", f"{name}_bucket")
+def _passes(df: DataFrame, name: str, slot: Column, bitmap: DataFrame) -> DataFrame:
+    """df with a boolean column `name`: its slot is set in the bitmap."""
+    at = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = df.withColumn("slot", slot).withColumn("bucket", F.bitmap_bucket_number("slot"))
+    met = asked.join(F.broadcast(bitmap), "bucket", "left")
+    return met.withColumn(name, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("slot", "bucket", "bits")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_all: bool = False, bits: int = BITS, prefix_chars: int = PREFIX_CHARS) -> DataFrame:
+def exact_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, digest_all: bool = False, bits: int = BITS, prefix_chars: int = PREFIX_CHARS, heavy: int = HEAVY
+) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, digest.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts as empty. The largest id of a group
     stays; a row is kept when its id is that id, so rows that repeat an id are all kept or all dropped, and a group
     whose ids are all null keeps every row. `digest` (SHA-256, lowercase hex) is null where the refinement never had
-    to read the whole text, unless `digest_all`. Other columns of df are ignored; an empty df gives no rows.
+    to read the whole text, unless `digest_all`. Other columns of df are ignored; an empty df gives no rows. Groups of
+    over `heavy` rows go back to their rows by broadcast.
     """
-    base = df.select(F.col(id_col).alias("id"), whole(text_col).alias("body"))
-    size, prefix = F.octet_length("body").cast("long"), ascii_lower(F.substring("body", 1, prefix_chars))
-    by_size = base.select(size.alias("size")).groupBy("size").count().filter("count > 1")
-    first = _bitmap(by_size.select(_slot(F.col("size"), bits=bits).alias("s1")), "s1")
-    level1 = _passes(base.withColumn("size", size).withColumn("s1", _slot(F.col("size"), bits=bits)), "s1", first)
-    level2 = level1.withColumn("prefix", F.when(F.col("s1_in"), F.xxhash64(prefix)))
-    by_prefix = level2.filter("s1_in").groupBy("size", "prefix").count().filter("count > 1")
-    second = _bitmap(by_prefix.select(_slot(F.col("size"), F.col("prefix"), bits=bits).alias("s2")), "s2")
-    level3 = _passes(level2.withColumn("s2", _slot(F.col("size"), F.col("prefix"), bits=bits)), "s2", second)
-    survives = F.col("s1_in") & F.col("s2_in")
-    full = F.sha2(ascii_lower(F.col("body")).cast("binary"), 256)
-    rows = level3.select("id", "size", survives.alias("survives"), (full if digest_all else F.when(survives, full)).alias("digest"))
-    rows = rows.withColumn("key", F.coalesce("digest", F.concat_ws(":", F.lit("alone"), "id", "size")))
-    groups = rows.filter("survives").groupBy("key").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    out = rows.join(groups, "key", "left")
-    keep = F.when(F.col("n").isNotNull(), F.col("largest")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "digest")
+    body, slot1, slot2 = whole(text_col), _slot(F.col("size"), bits=bits), _slot(F.col("size"), F.col("prefix"), bits=bits)
+    full = F.sha2(ascii_lower(body).cast("binary"), 256)
+    size, prefix = F.octet_length(body).cast("long"), F.xxhash64(ascii_lower(F.substring(body, 1, prefix_chars)))
+    sized = df.select(F.col(id_col).alias("id"), size.alias("size"), prefix.alias("prefix"), full.alias("digest"))
+    narrow = cut(sized if digest_all else sized.select("size", "prefix"))
+    by_size = narrow.groupBy("size").count().filter("count > 1")
+    first = cut(_bitmap(by_size.select(slot1.alias("slot"))))
+    by_prefix = _passes(narrow, "alive", slot1, first).filter("alive").groupBy("size", "prefix").count().filter("count > 1")
+    second = cut(_bitmap(by_prefix.select(slot2.alias("slot"))))
+    marked = _passes(_passes(narrow if digest_all else sized, "one", slot1, first), "two", slot2, second)
+    # A digest that no branch asks for is never computed: whole texts are hashed for survivors only.
+    key = F.when(F.col("one") & F.col("two"), F.col("digest"))
+    rows = marked.select("id", key.alias("key"), (F.col("digest") if digest_all else key).alias("digest"))
+    rows = rows if digest_all else cut(rows)
+    alike, alone = rows.filter("key IS NOT NULL"), rows.filter("key IS NULL")
+    groups = cut(alike.groupBy("key").agg(F.max("id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    met = join_heavy(alike, groups, "key", "n", F.col("id"), heavy=heavy)
+    met = met.select("id", F.col("largest").alias("keep_id"), F.col("n").alias("group_size"), "digest")
+    out = met.unionByName(alone.select("id", F.col("id").alias("keep_id"), F.lit(1).alias("group_size"), "digest"))
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
+    return out.select(F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep).alias("kept"), "digest")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
