@@ -119,8 +119,9 @@ def encoder(path: str, pattern: str) -> Encoder:
 def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """id, n_tokens, ids (array of int), ids_sha256, decoded_sha256: one row per input row.
 
-    Whole texts, no special tokens; a null text counts as empty and has no tokens. `path` is a file of ranks that
-    every executor can open (part of the installed tokenizer package by default).
+    Whole texts, no special tokens; a null text counts as empty and has no tokens. Repeated rows stay; other columns
+    are ignored, and an empty df gives no rows. `path` is a file of ranks that every executor can open (part of the
+    installed tokenizer package by default).
     """
     path, pattern = path or vocabulary_path(), pattern or split_pattern()
 
@@ -138,6 +139,7 @@ def bpe_encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
 
 def bpe_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_encode without the ids themselves, for the same rows."""
     path, pattern = vocabulary_path(), split_pattern()
 
     def make():

@@ -161,7 +161,8 @@ def shots(samples: np.ndarray, heights: list[int]) -> list[tuple[int, int]]:
 def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes and `media` (binary): each text as UTF-8, padded by zero bytes to a positive multiple of 64, as an AVI.
 
-    A null text counts as empty: one line of zeros. Repeated rows stay; equal texts have equal media.
+    A null text counts as empty: one line of zeros. Repeated rows stay; equal texts have equal media. Other columns are
+    ignored; an empty df gives no rows.
     """
 
     def make():
@@ -175,7 +176,8 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def media_clips(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, clip, start_ms, end_ms, frames, mean: a row for each shot of a `media` column. Null media have none."""
+    """id, clip, start_ms, end_ms, frames, mean: a row for each shot of a `media` column. Null media have none, and
+    other columns are ignored."""
 
     def make():
         def work(files: list) -> list[list]:
@@ -197,7 +199,8 @@ def media_clips(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def media_features(media: DataFrame, keep: list[str]) -> DataFrame:
-    """What is read back from a `media` column: sizes, digests and a feature (frames, shot ends in ms, mean, spread)."""
+    """The columns `keep`, and what is read back from a `media` column without nulls: sizes, digests and a feature
+    (frames, shot ends in ms, mean, spread). An empty table gives no rows."""
 
     def make():
         def work(files: list) -> list[list]:

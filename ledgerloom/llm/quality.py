@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed words, their character n-grams and one mark for a word that
-repeats its predecessor; a softmax of it gives the classes. Training is plain stochastic gradient descent in numpy, on
-the driver, over a bounded and documented sample of labelled rows (TRAIN). Since the output is linear in the average,
-every feature is worth one number at scoring time: a word is looked up once and remembered, and a document costs one
-dictionary access a word.
+repeats its predecessor (the one word pair that is told apart); a softmax of it gives the classes. Features of the
+labelled rows are counted on the executors, so the driver gets numbers instead of texts; training is plain stochastic
+gradient descent in numpy, on the driver, over a bounded and documented sample of labelled rows (TRAIN). Since the output
+is linear in the average, every feature is worth one number at scoring time: a word is looked up once and remembered,
+and a document costs one dictionary access a word.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import per_row, table
 
-#: Labelled rows that training takes at most (the first by hash of the id), hash buckets, vector size, passes, step.
+#: Labelled rows that training takes at most (the first by hash of the id; a row has BUCKETS features at most, 8 bytes
+#: each), hash buckets, vector size, passes, step.
 TRAIN, BUCKETS, DIM, EPOCHS, RATE, SEED = 1500, 1 << 17, 12, 8, 0.35, 11
 GRAMS, FOLDS, THRESHOLD, CACHE = (3, 4), 5, 0.3, 500_000
 REPEAT = "\0="
@@ -44,13 +46,19 @@ def _counts(text: str | None, known: dict[str, np.ndarray]) -> tuple[np.ndarray,
     if not parts:
         return np.empty(0, np.int32), np.empty(0, np.float32)
     ids, n = np.unique(np.concatenate(parts), return_counts=True)
-    return ids, (n / n.sum()).astype(np.float32)
+    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
 def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float]:
+    known: dict[str, np.ndarray] = {}
+    return descend([_counts(t, known) for t in texts], labels)
+
+
+def descend(each: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> tuple[np.ndarray, float]:
     """(worth of each feature, bias): the log odds of label 1 are the mean worth plus the bias.
 
-    The rarer class weighs more, up to 3 times. Without rows of both classes the score is the share of label 1.
+    From features and their shares, row by row. The rarer class weighs more, up to 3 times. Without rows of both classes
+    the score is the share of label 1.
     """
     y = np.array(labels, np.int64)
     share = float((y.sum() + 1) / (len(y) + 2))
@@ -58,12 +66,8 @@ def train(texts: list[str | None], labels: list[int]) -> tuple[np.ndarray, float
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, np.float32), prior
     # Features of all rows stand in two flat arrays: a driver has little memory, and these go back whole.
-    known: dict[str, np.ndarray] = {}
-    each = [_counts(t, known) for t in texts]
-    del known
     ends = np.cumsum([0, *(len(ids) for ids, _ in each)])
     flat_ids, flat_parts = np.concatenate([ids for ids, _ in each]), np.concatenate([part for _, part in each])
-    del each
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out, bias = np.zeros((2, DIM), np.float32), np.array([0, prior], np.float32)
@@ -123,19 +127,33 @@ def fold(id_col: str):
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = TRAIN) -> tuple[np.ndarray, float]:
-    """A model from labelled rows outside the held-out fold: the first `limit` labels by hash of the id."""
-    chosen = labels.filter((fold(id_col) != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "_y").limit(limit)
-    rows = df.select(F.col(id_col).alias("_id2"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), F.col("_id2") == F.col("_id")).select("_id", "_y", "_t").collect()
-    rows.sort(key=lambda r: (r._id, r._y, r._t or ""))
-    texts, labels = [r._t for r in rows], [r._y for r in rows]
-    del rows
-    return train(texts, labels)
+    """A model from labelled rows outside the held-out fold: the first `limit` labels by hash of the id.
+
+    Null labels do not count; a null text has no features. Rows or labels that repeat an id each count. Without any row
+    of both classes (or any at all) the model knows the share of label 1 only.
+    """
+    chosen = labels.filter((fold(id_col) != 0) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id", "y").limit(limit)
+    rows = df.select(F.col(id_col).alias("id2"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id2") == F.col("id"))
+
+    def make():
+        known: dict[str, np.ndarray] = {}
+
+        def work(texts: list) -> list:
+            counts = [_counts(t, known) for t in texts]
+            return [[ids.tobytes() for ids, _ in counts], [part.tobytes() for _, part in counts]]
+
+        return work
+
+    got = per_row(rows, ["id", "y"], "text", {"features": "binary", "shares": "binary"}, make).toArrow().to_pylist()
+    got.sort(key=lambda r: (r["id"], r["y"], r["features"], r["shares"]))
+    return descend([(np.frombuffer(r["features"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got], [r["y"] for r in got])
 
 
 def score_quality(df: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """df with score (of label 1, 0 to 1) and predicted (1 if score >= threshold). Null texts count as empty; an empty
-    text gets the score of the bias alone. Every row is scored by its whole text; nothing else enters the score."""
+    text gets the score of the bias alone. Every row is scored by its whole text; nothing else enters the score. Repeated
+    rows stay, columns of df named score or predicted are replaced, all others pass through; an empty df gives no rows."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -148,7 +166,7 @@ def score_quality(df: DataFrame, model: tuple[np.ndarray, float], text_col: str
 
         return work
 
-    return per_row(df, [c for c in df.columns if c not in ("score", "predicted")], text_col, {"score": "double", "predicted": "int"}, make)
+    return per_row(df, [c for c in df.columns if c.lower() not in ("score", "predicted")], text_col, {"score": "double", "predicted": "int"}, make)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,31 +1,38 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
 A 64-bit fingerprint is mapped to the bit counts of its 2-bit segments. Flipping one bit moves one count by one, so the
-Manhattan distance of the counts is a lower bound of the Hamming distance. Counts are laid out in two blocks of 16
-segments: of a distance of at most 3, one block carries at most 1. So each fingerprint stands in one grid cell of each
-block and probes that cell and the cells one step up; the pairs that meet are verified exactly by the bits in which they
-differ. Only distinct fingerprints are joined, so copies cost nothing and a fingerprint has a bounded number of links
-(2,080 at two bits). Components come from alternating star contractions with checkpoints; nothing is collected.
+Manhattan distance of the counts is a lower bound of the Hamming distance. Counts are laid out in eight blocks of four
+segments; a distance of r touches r blocks at most, so two fingerprints within it stand in one cell of at least one grid
+that leaves out r of the blocks. Those that meet in a cell are held against the Manhattan bound, then verified exactly by
+the bits in which they differ. Two bits make 28 grids of some 34 bits a cell, so a billion random fingerprints meet by
+chance about as often as there are fingerprints. Only distinct fingerprints are joined, so copies cost nothing and a
+fingerprint has a bounded number of links (2,080 at two bits). Components come from alternating star contractions with
+checkpoints; nothing is collected.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import FOLD, cut, per_row, table
+from .common import FOLD, bounded, cut, join_heavy, per_row, spare, table
 
 SEED, WORDS, RADIUS = 42, 3, 2
+#: Blocks of four segments (eight bits of a fingerprint).
+BLOCKS = 8
 #: Near duplicates by similarity: words of a shingle, least Jaccard similarity, members of a block of pairs, bits of a set's parity.
 NEAR_WORDS, SIMILARITY, BLOCK, BITS = 5, 0.8, 1000, 1024
 #: One document in how many is sampled for common shingles, the count there that makes one common, and how many are taken at most.
-HOT_OF, HOT_LEAST, HOT_MOST = 8, 4, 300_000
+HOT_OF, HOT_LEAST, HOT_MOST = 16, 3, 300_000
+#: Ids up to which a set of them (some 10 bytes each) is broadcast.
+BROADCAST_IDS = 1_000_000
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -60,24 +67,42 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return per_row(df, [id_col], text_col, {"fp": "long"}, make)
 
 
-def segment_counts(fp):
+def segment_counts(fp: Column) -> Column:
     """The bit count of every 2-bit segment, kept in the segment's own two bits."""
     even, odd = fp, F.shiftrightunsigned(fp, 1)
     ones, twos = (x.bitwiseAND(F.lit(0x5555555555555555)) for x in (even.bitwiseXOR(odd), even.bitwiseAND(odd)))
     return ones.bitwiseOR(F.shiftleft(twos, 1))
 
 
+def manhattan(a: Column, b: Column) -> Column:
+    """The distance of two rows of counts, from their difference segment by segment.
+
+    A count is 0, 1 or 2; in two bits, differing in the lower bit is a distance of 1, in the upper alone one of 2.
+    """
+    low = a.bitwiseXOR(b).bitwiseAND(F.lit(0x5555555555555555))
+    high = F.shiftrightunsigned(a.bitwiseXOR(b), 1).bitwiseAND(F.lit(0x5555555555555555))
+    return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low)))
+
+
+def cells(counts: Column, radius: int) -> Column:
+    """The cells of all grids: the counts of the blocks that a grid keeps, with its number in place of one it leaves out."""
+    out = []
+    for n, left_out in enumerate(itertools.combinations(range(BLOCKS), radius)):
+        mask = sum(0xFF << 8 * b for b in range(BLOCKS) if b not in left_out)
+        number = sum(n << 8 * b for b in left_out[:1])
+        out.append(counts.bitwiseAND(F.lit(signed(mask))).bitwiseOR(F.lit(signed(number))))
+    return F.array(*out)
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints of column `fp` that differ in 1 to `radius` bits; radius is 3 at most."""
-    if not 0 <= radius <= 3:
-        raise ValueError("two blocks find distances up to 3")
-    counts = fps.select("fp", segment_counts(F.col("fp")).alias("counts"))
-    high, low = F.shiftrightunsigned("counts", 32), F.col("counts").bitwiseAND(F.lit(0xFFFFFFFF))
-    blocks = counts.select("fp", F.explode(F.array(high, low + F.lit(1 << 32))).alias("cell"))
-    steps = [F.when(F.shiftrightunsigned("cell", 2 * i).bitwiseAND(F.lit(3)) < 2, F.col("cell") + F.lit(1 << (2 * i))) for i in range(16)]
-    probes = blocks.select(F.col("fp").alias("a"), F.posexplode(F.array(F.col("cell"), *steps)).alias("step", "cell")).filter("cell IS NOT NULL")
-    met = probes.join(blocks.withColumnRenamed("fp", "b"), "cell").filter(((F.col("step") > 0) | (F.col("a") < F.col("b"))) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Pairs (a, b) of distinct fingerprints of column `fp` that differ in 1 to `radius` bits; radius is 4 at most."""
+    if not 0 <= radius <= 4:
+        raise ValueError("a grid keeps at least four blocks")
+    counts = segment_counts(F.col("fp"))
+    placed = fps.select("fp", F.explode(cells(counts, radius)).alias("cell"))
+    met = placed.withColumnRenamed("fp", "a").join(placed.withColumnRenamed("fp", "b"), "cell").filter("a < b")
+    near = manhattan(segment_counts(F.col("a")), segment_counts(F.col("b"))) <= radius
+    return met.filter(near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b").distinct()
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
@@ -85,18 +110,22 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     component_id is the smallest id reachable over links, itself included; `links` counts the other fingerprints within
     the radius. Null texts count as empty; empty texts have fingerprint zero and link like any other. Null ids count in
-    no minimum, so a component of null ids alone has a null id. Other columns are ignored; an empty df gives no rows.
+    no minimum, so a component of null ids alone has a null id. Repeated rows stay. Other columns are ignored; an empty
+    df gives no rows.
     """
-    docs = cut(fingerprints(df, id_col, text_col, words).withColumnRenamed(id_col, "id"))
-    each = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    docs = cut(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", words))
+    each = cut(docs.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     pairs = cut(links(each.select("fp"), radius))
     roots = components(pairs)
     number = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    linked = each.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least")
+    linked = cut(each.join(roots, F.col("fp") == F.col("node")).select("fp", "root", "least"))
     ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    far = linked.select("fp", "root").join(ids, "root").join(number, F.col("fp") == F.col("node")).select(F.col("fp").alias("fp2"), "component_id", "links")
-    known = each.join(far, F.col("fp") == F.col("fp2"), "left").select(F.col("fp").alias("fp3"), F.when(F.col("fp2").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    return docs.join(known, F.col("fp") == F.col("fp3")).select(F.col("id").alias(id_col), "fp", "component_id", "links")
+    far = linked.select("fp", "root").join(ids, "root").join(number, F.col("fp") == F.col("node")).select("fp", "component_id", "links", F.lit(True).alias("met"))
+    known = each.join(far, "fp", "left")
+    own = F.when(F.col("met"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")
+    known = cut(known.select("fp", own, F.coalesce("links", F.lit(0)).cast("long").alias("links"), "n"))
+    out = join_heavy(docs, known, "fp", "n", F.col("id"))
+    return out.select(F.col("id").alias(id_col), "fp", "component_id", "links")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,15 +140,21 @@ def prefix_length(size: int, similarity: float) -> int:
 
 def lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*parts, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)))
+    flat = np.concatenate([*parts, np.empty(0, np.uint64)]).astype(np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def parity(h: np.ndarray) -> np.ndarray:
+def parity(h: np.ndarray) -> bytes:
     """BITS bits: for each, whether the set has an odd number of members there. Sets differ in at least as many members as parities in bits."""
     odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def words_digest(text: str | None) -> bytes:
+    """128 bits of the words, whatever stands between them."""
+    return xxhash.xxh3_128_digest(b" ".join((text or "").encode().translate(FOLD).split()), 7)
+
+
 def frequent(ids: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that one document in HOT_OF shows to be common, sorted, and their counts there; at most HOT_MOST."""
 
@@ -134,17 +169,23 @@ def frequent(ids: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return s[at], n[at]
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = NEAR_WORDS, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = NEAR_WORDS, similarity: float = SIMILARITY, radius: int = RADIUS, block: int = BLOCK
+) -> DataFrame:
     """id, group_id for the rows that belong to a group of near duplicates: group_id is the group's least id.
 
     Two texts are near when the Jaccard similarity of their sets of word shingles reaches `similarity`; groups are the
-    components of all near pairs, and none is missed. Candidates come from an exact prefix filter: sets are put into
-    one order, common shingles last, and near sets share one of their first |s| - ceil(similarity |s|) + 1. Which
-    shingles count as common is sampled; any order is exact, the sample only keeps groups small. First each text is
-    verified against the one of its shingles' hubs that it meets most. Then all pairs that share a prefix shingle and are
-    not in one component yet are verified, those of much-shared shingles in blocks of `block` members. Three exact
-    bounds (sizes, positions, parities of the sets) come before whole sets are compared. Texts of the same words are one
-    class from the start. Null and empty texts are never grouped. Null ids are ignored. Repeated ids count as one document.
+    components of all near pairs, and none is missed. Candidates come in two rounds. The first takes texts whose
+    fingerprints the grid join links, and, with each text, the one that it meets most among the hubs of its prefix
+    shingles. What is verified there is one component. Fingerprints cannot reach all pairs of this similarity, so the
+    second round is an exact prefix filter: sets are put into one order, common shingles last, and near sets share one of
+    their first |s| - ceil(similarity |s|) + 1; all pairs that share one and are not in one component yet are verified,
+    those of much-shared shingles in blocks of `block` members. Which shingles count as common is sampled; any order is
+    exact, the sample only keeps groups small. Three exact bounds (sizes, positions, parities of the sets) come before
+    whole sets are compared. Texts of the same words are one class from the start, whose least id stands for it.
+
+    Null and empty texts are never grouped. Null ids are ignored. Repeated ids count as one document, near to what any of
+    its texts is near to. Other columns are ignored; an empty df gives no rows.
     """
     ids = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     common = df.sparkSession.sparkContext.broadcast(frequent(ids, words))
@@ -159,66 +200,96 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
             return h[np.argsort(np.where(hot[at] == h, times[at], 0), kind="stable")[:keep]]
 
-        def work(texts: list) -> list[list]:
-            sets = [np.unique(hashes(t, words)) for t in texts]
-            same = [signed(xxhash.xxh64_intdigest(b" ".join((t or "").encode().translate(FOLD).split()), 7)) for t in texts]
-            return [[len(h) for h in sets], lists([first(h) if len(h) else h for h in sets]), same]
+        def work(texts: list) -> list:
+            all_hashes = [hashes(t, words) for t in texts]
+            sets = [np.unique(h) for h in all_hashes]
+            return [
+                [len(h) for h in sets], [signed(majority(h)) for h in all_hashes], [words_digest(t) for t in texts],
+                lists([first(h) if len(h) else h for h in sets]), lists([parity(h) for h in sets]),
+            ]
 
         return work
 
-    docs = cut(per_row(ids, ["id"], "body", {"size": "long", "first": "array<long>", "same": "long"}, make).filter("size > 0"))
-    classes = docs.groupBy("same").agg(F.min("id").alias("cid"), F.min_by(F.struct("size", "first"), "id").alias("v")).select("same", "cid", "v.*")
-    twins = docs.select("id", "same").join(docs.groupBy("same").agg(F.min("id").alias("cid")), "same").filter("id != cid").select(F.col("id").alias("a"), F.col("cid").alias("b"))
-    cells = classes.select("cid", "size", F.posexplode("first").alias("at", "cell"))
-    met = cut(cells.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
-    texts = ids.join(met.select("cid").distinct(), F.col("id") == F.col("cid"), "left_semi").groupBy("id").agg(F.min("body").alias("body"))
+    columns = {"size": "long", "fp": "long", "same": "binary", "first": "array<long>", "bits": "array<long>"}
+    docs = cut(per_row(ids, ["id"], "body", columns, make).filter("size > 0").withColumn("row", F.monotonically_increasing_id()))
+    many = docs.groupBy("same").agg(F.min("id").alias("cid"), F.min_by("row", F.struct("id", "row")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = join_heavy(docs.select("id", "row", "same"), cut(many), "same", "n", F.col("row")).filter("row != leader")
+    copies = cut(copies.select("row", "id", "cid"))
+    classes = docs.join(bounded(copies.select("row"), BROADCAST_IDS), "row", "left_anti").select(F.col("id").alias("cid"), "size", "fp", "first", "bits")
+    twins = copies.filter("id != cid").select(F.col("id").alias("a"), F.col("cid").alias("b")).distinct()
+
+    # Size and place of a shingle in its set travel in one long; a class whose shingles nobody shares is out of it.
+    shared = classes.select("cid", F.posexplode("first").alias("at", "cell"), F.shiftleft("size", 32).alias("size"))
+    shared = shared.select("cell", "cid", F.col("size").bitwiseOR(F.col("at").cast("long")).alias("place"))
+    met = cut(shared.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
+    size_of = lambda place: F.shiftright(place, 32)
+    at_of = lambda place: place.bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def possible(px: Column, py: Column) -> Column:
+        """Sizes allow the similarity, and so do the members left if this shingle is the first that both have."""
+        nx, ny = size_of(px), size_of(py)
+        left = F.least(nx - at_of(px), ny - at_of(py)) >= similarity / (1 + similarity) * (nx + ny) - 1e-6
+        return (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-6) & left
 
-    def sets():
-        def work(bodies: list) -> list:
-            each = [np.unique(hashes(t, words)) for t in bodies]
-            return [lists(each), lists([parity(h) for h in each])]
+    def sketches(name: str) -> DataFrame:
+        return classes.select(F.col("cid").alias(name), F.col("bits").alias(f"bits_{name}"), F.col("size").alias(f"n_{name}"))
 
-        return work
+    def sets(who: DataFrame) -> DataFrame:
+        """The whole sets of some documents, from their texts."""
+        chosen = ids.join(bounded(cut(who.toDF("id").distinct()), BROADCAST_IDS), "id", "left_semi")
 
-    shingles = cut(per_row(texts, ["id"], "body", {"set": "array<long>", "bits": "array<long>"}, sets))
+        def build():
+            return lambda bodies: [lists([np.unique(hashes(t, words)) for t in bodies])]
 
-    def side(column: str, name: str) -> DataFrame:
-        return shingles.select(F.col("id").alias(name), F.col(column).alias(f"{column}_{name}"), F.size("set").alias(f"n_{name}"))
+        return cut(per_row(chosen, ["id"], "body", {"set": "array<long>"}, build))
 
     def verify(pairs: DataFrame) -> DataFrame:
         odd = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
         most = (1 - similarity) / (1 + similarity) * (F.col("n_x") + F.col("n_y")) + 1e-6
-        close = cut(pairs.join(side("bits", "x"), "x").join(side("bits", "y"), "y").filter(odd <= most).select("x", "y"))
-        both = close.join(side("set", "x"), "x").join(side("set", "y"), "y")
-        shared = F.size(F.array_intersect("set_x", "set_y"))
-        return cut(both.filter(shared >= similarity * (F.col("n_x") + F.col("n_y") - shared)).select(F.col("x").alias("a"), F.col("y").alias("b")))
-
-    def possible(nx, ny, at_x, at_y):
-        """Sizes allow the similarity, and so do the members left if this shingle is the first that both have."""
-        return (F.least(nx, ny) >= similarity * F.greatest(nx, ny) - 1e-6) & (F.least(nx - at_x, ny - at_y) >= similarity / (1 + similarity) * (nx + ny) - 1e-6)
-
+        sizes = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6
+        close = cut(pairs.join(sketches("x"), "x").join(sketches("y"), "y").filter(sizes & (odd <= most)).select("x", "y").distinct())
+        whole = sets(close.select(F.explode(F.array("x", "y"))))
+        left = whole.join(bounded(close, BROADCAST_IDS), F.col("id") == F.col("x")).select("x", "y", F.col("set").alias("set_x"))
+        both = left.join(whole.select(F.col("id").alias("y"), F.col("set").alias("set_y")), "y")
+        common_members = F.size(F.array_intersect("set_x", "set_y"))
+        near = common_members >= similarity * (F.size("set_x") + F.size("set_y") - common_members)
+        return cut(both.filter(near).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+
+    # First round: linked fingerprints, by the least class of each, and the hub that a class meets most.
+    least = cut(classes.groupBy("fp").agg(F.min("cid").alias("y"), F.count(F.lit(1)).alias("n")))
+    alike = join_heavy(classes.select(F.col("cid").alias("x"), "fp"), least.filter("n > 1"), "fp", "n", F.col("x")).filter("y IS NOT NULL AND x != y").select("x", "y")
+    near = links(least.select("fp"), radius)
+    near = near.join(least.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(least.select(F.col("fp").alias("b"), "y"), "b").select("x", "y")
     score = met.groupBy("cid").agg(F.sum("n").alias("score"))
-    hubs = met.join(score, "cid").groupBy("cell").agg(F.max_by(F.struct("cid", "size", "at"), F.struct("score", -F.col("cid"))).alias("hub"))
-    meets = met.join(hubs, "cell").filter("cid != hub.cid").filter(possible(F.col("size"), F.col("hub.size"), F.col("at"), F.col("hub.at")))
-    best = meets.groupBy("cid", F.col("hub.cid").alias("y")).agg(F.count(F.lit(1)).alias("cells")).groupBy("cid").agg(F.max_by("y", F.struct("cells", -F.col("y"))).alias("y"))
-    found = verify(best.select(F.col("cid").alias("x"), "y"))
+    hubs = met.join(score, "cid").groupBy("cell").agg(F.max_by(F.struct("cid", "place"), F.struct("score", -F.col("cid"))).alias("hub"))
+    meets = met.join(hubs, "cell").filter("cid != hub.cid").filter(possible(F.col("place"), F.col("hub.place")))
+    meets = meets.groupBy("cid", F.col("hub.cid").alias("y")).agg(F.count(F.lit(1)).alias("cells"))
+    best = meets.groupBy(F.col("cid").alias("x")).agg(F.max_by("y", F.struct("cells", -F.col("y"))).alias("y"))
+    found = verify(alike.unionByName(near).unionByName(best).distinct())
     roots = components(found)
-    rooted = met.join(roots, F.col("cid") == F.col("node"), "left").select("cell", "cid", "size", "at", "n", F.coalesce("root", "cid").alias("root"))
+
+    # Second round: whatever else shares a prefix shingle.
+    rooted = met.join(roots, F.col("cid") == F.col("node"), "left").select("cell", "cid", "place", "n", F.coalesce("root", "cid").alias("root"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("cell")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    still = cut(rooted.join(mixed, "cell", "left_semi").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
+    still = rooted.join(mixed, "cell", "left_semi").withColumn("blocks", blocks)
+    still = cut(still.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = still.select("cell", F.col("cid").alias("x"), F.col("size").alias("nx"), F.col("at").alias("ax"), F.col("root").alias("rx"), F.col("own").alias("i"), other.alias("j"))
-    right = still.select("cell", F.col("cid").alias("y"), F.col("size").alias("ny"), F.col("at").alias("ay"), F.col("root").alias("ry"), other.alias("i"), F.col("own").alias("j"))
-    pairs = left.join(right, ["cell", "i", "j"]).filter("x < y AND rx != ry").filter(possible(F.col("nx"), F.col("ny"), F.col("ax"), F.col("ay"))).select("x", "y").distinct()
+
+    def side(name: str, own: str, others: str) -> DataFrame:
+        return still.select("cell", F.col("cid").alias(name), F.col("place").alias(f"p{name}"), F.col("root").alias(f"r{name}"), F.col("own").alias(own), other.alias(others))
+
+    pairs = side("x", "i", "j").join(side("y", "j", "i"), ["cell", "i", "j"]).filter("x < y AND rx != ry")
+    pairs = pairs.filter(possible(F.col("px"), F.col("py"))).select("x", "y").distinct()
     roots = components(found.unionByName(verify(pairs)).unionByName(twins))
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("group_id"))
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """df without the documents whose group has a smaller id; of rows that share an id all stay."""
-    groups = near_duplicates(df, id_col, text_col, **how).filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("_dropped"))
-    return df.join(groups, F.col(id_col) == F.col("_dropped"), "left_anti")
+    name = spare(df, "dropped")[0]
+    groups = near_duplicates(df, id_col, text_col, **how).filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias(name))
+    return df.join(bounded(cut(groups), BROADCAST_IDS), F.col(f"`{id_col}`") == F.col(name), "left_anti")
 
 
 SQL: dict[str, str] = {}

@@ -1,16 +1,16 @@
 """URL filters over a sorted digest array.
 
 The rules are kept as one file: a sorted array of 64-bit xxhash keys, the verdicts, and the full strings. Spark ships
-the file to each executor (`addFile`), workers map it into memory, look up every candidate of a batch by one vectorised
+the file to each executor (`addFile`), workers map it into memory, look up every candidate of a slice by one vectorised
 binary search, and compare the stored string, so that a colliding key never decides. A rule is `host` plus path prefix;
-candidates are the host and its parent domains, each with the path prefixes whose lengths occur in the rules.
+candidates are the parent domains with as many labels as some rule has, each with the path prefixes whose lengths occur
+in the rules, so an address of many labels costs no more than one of few.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-import tempfile
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -37,7 +37,8 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class DigestIndex:
-    """Layout: count, then for each distinct key in order key, verdict and string offset; then the strings.
+    """Layout: count; then for each rule, in order of key, the key; then its verdict, labels and path length in one
+    number, and where its string begins and ends; then the strings.
 
     Equal keys stand side by side, one entry for each string.
     """
@@ -47,17 +48,19 @@ class DigestIndex:
         self.keys = np.memmap(path, dtype="<u8", mode="r", offset=8, shape=(n,)) if n else np.empty(0, "<u8")
         self.meta = np.memmap(path, dtype="<u8", mode="r", offset=8 + 8 * n, shape=(n, 3)) if n else np.empty((0, 3), "<u8")
         self.text = np.memmap(path, dtype=np.uint8, mode="r", offset=8 + 32 * n) if n else np.empty(0, np.uint8)
-        self.path_lengths = sorted({int(x) for x in np.unique(np.asarray(self.meta[:, 0]) >> np.uint64(1))}) if n else []
+        meta = np.asarray(self.meta[:, 0])
+        self.path_lengths = np.unique(meta >> np.uint64(32)).tolist()
+        self.labels = np.unique(meta >> np.uint64(1) & np.uint64((1 << 31) - 1)).tolist()
 
     @staticmethod
     def write(path: str, rules: Iterable[tuple[str, str, str]]) -> None:
-        unique = {f"{host}\0{p}".encode(): (verdict == "allow", len(p)) for verdict, host, p in rules}
+        unique = {f"{host}\0{p}".encode(): len(p) << 32 | (host.count(".") + 1) << 1 | (verdict == "allow") for verdict, host, p in rules}
         found = sorted((xxhash.xxh64_intdigest(k), k, v) for k, v in unique.items())
         ends = np.cumsum([0, *(len(k) for _, k, _ in found)])
         with open(path, "wb") as f:
             f.write(np.array([len(found)], "<u8").tobytes())
             f.write(np.array([h for h, _, _ in found], "<u8").tobytes())
-            f.write(np.array([(length << 1 | allow, a, b) for (_, _, (allow, length)), a, b in zip(found, ends[:-1], ends[1:], strict=True)], "<u8").tobytes())
+            f.write(np.array([(v, a, b) for (_, _, v), a, b in zip(found, ends[:-1], ends[1:], strict=True)], "<u8").tobytes())
             f.write(b"".join(k for _, k, _ in found))
 
     def lookup(self, probes: list[bytes]) -> list[int]:
@@ -77,33 +80,44 @@ class DigestIndex:
         return out.tolist()
 
     def judge(self, urls: list[str | None]) -> list[tuple[str, str, str | None, str | None]]:
-        """(host, path, rule, verdict) of each url; rule and verdict null where none fits. The longest rule wins."""
+        """(host, path, rule, verdict) of each url; rule and verdict null where none fits.
+
+        The longest rule (host and path together) wins; of equally long ones that of the longer host.
+        """
         parts, probes, owner = [split_url(u) for u in urls], [], []
         for i, (host, path) in enumerate(parts):
-            labels = host.split(".") if host else []
-            for k in range(len(labels)):
-                domain = ".".join(labels[k:])
+            for k in self.labels if host else ():
+                more = host.count(".") + 1 - k
+                if more < 0:
+                    continue
+                domain = host[len(host.rsplit(".", k)[0]) + 1 :] if more else host
                 for n in self.path_lengths:
                     if n <= len(path):
                         probes.append(f"{domain}\0{path[:n]}".encode())
                         owner.append(i)
-        best: dict[int, tuple[int, str, str]] = {}
+        best: dict[int, tuple[int, int, str, str]] = {}
         for i, p, at in zip(owner, probes, self.lookup(probes), strict=True):
             if at >= 0:
                 host, _, path = p.decode().partition("\0")
-                best[i] = max(best.get(i, (-1, "", "")), (len(host) + len(path), f"{host}{path}", "allow" if int(self.meta[at][0]) & 1 else "block"))
-        return [(*parts[i], *(best[i][1:] if i in best else (None, None))) for i in range(len(parts))]
+                best[i] = max(best.get(i, (-1, -1, "", "")), (len(host) + len(path), len(host), f"{host}{path}", "allow" if int(self.meta[at][0]) & 1 else "block"))
+        return [(*parts[i], *(best[i][2:] if i in best else (None, None))) for i in range(len(parts))]
 
 
 _OPEN: dict[str, DigestIndex] = {}
 
 
 def ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
-    """Writes the index and hands it to all executors; returns its name, which its content determines."""
-    folder = tempfile.mkdtemp(prefix="url-rules-")
-    DigestIndex.write(raw := os.path.join(folder, "index"), rules)
+    """Writes the index and hands it to all executors; returns its name, which its content determines.
+
+    The file lies in the driver's own folder of shipped files, which Spark serves to executors and deletes at the end.
+    """
+    folder = os.path.join(SparkFiles.getRootDirectory(), "url-rules")
+    os.makedirs(folder, exist_ok=True)
+    DigestIndex.write(raw := os.path.join(folder, f"raw-{os.getpid()}"), rules)
     name = f"url-rules-{hashlib.sha256(Path(raw).read_bytes()).hexdigest()[:32]}"
-    if not os.path.exists(SparkFiles.get(name)):
+    if os.path.exists(os.path.join(folder, name)):
+        os.remove(raw)
+    else:
         os.rename(raw, os.path.join(folder, name))
         spark.sparkContext.addFile(os.path.join(folder, name))
     return name

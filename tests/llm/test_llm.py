@@ -62,7 +62,7 @@ def test_line_dedup_sites_and_ratio(spark, odd):
     rows = [(i, f"Home\nline {i}\nHome\n", "s" if i < 8 else "t") for i in range(40)] + [(99, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     for limit in (0, 1000):
-        got = {r.doc_id: r for r in line_dedup.line_dedup(df, ratio=0.5, min_pages=5, broadcast_lines=limit).collect()}
+        got = {r.doc_id: r for r in line_dedup.line_dedup(df, ratio=0.5, broadcast_lines=limit).collect()}
         assert got[3].text == "line 3\n" and got[3].lines_dropped == 2 and got[99].text == "" and len(got) == 41
     assert line_dedup.line_dedup(odd).count() == len(ODD) and line_dedup.line_dedup(odd.limit(0)).count() == 0
 
@@ -109,11 +109,11 @@ def test_simhash_against_brute_force(spark, odd):
     assert simhash.simhash_components(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("radius", [1, 2, 3])
+@pytest.mark.parametrize("radius", [1, 2, 3, 4])
 def test_links_are_complete(spark, radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 40).tolist() + [0, (1 << 64) - 1]
-    fps = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 2, 3, 4) for _ in range(3)})
+    fps = sorted({b ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base for n in (0, 1, 2, 3, 4, 5) for _ in range(3)})
     df = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
     got = {frozenset((r.a & (1 << 64) - 1, r.b & (1 << 64) - 1)) for r in simhash.links(df, radius).collect()}
     assert got == {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= radius}
@@ -192,6 +192,35 @@ def test_mix_is_near_its_targets(spark, odd):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mix_takes_a_part_of_repeated_rows(spark):
+    """Null ids and repeated rows: no source is off by more than half a document."""
+    rows = [(None, "w " * 10, "a")] * 700 + [(None, "w " * 9 + f"v{i}", "a") for i in range(300)] + [(1, "w " * 10, "b")] * 1000 + [(i, "w " * 300, "c") for i in range(20)]
+    df = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, text string, source string, extra int")
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows)
+    for source, half in (("a", 5), ("b", 5), ("c", 150)):
+        some = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in some) - some[0].target) <= half, source
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(7)).collect()))
+
+
+def test_mix_includes_by_size(spark):
+    """Over many seeds a document is in the sample about as often as its probability says; longer ones are in more often."""
+    rows = [(i, "w " * (60, 150, 300, 700, 1500)[i % 5], "a") for i in range(200)] + [(1000 + i, "w " * 500, "b") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    n, times = 12, defaultdict(int)
+    for k in range(n):
+        for r in mixing.mix(docs, weights=(1, 6), seed=f"s{k}").filter("source = 'a' AND copies > 0").select("doc_id").collect():
+            times[r.doc_id] += 1
+    often = [sum(times[i] for i in range(c, 200, 5)) / 40 / n for c in range(5)]
+    total = sum(len(t.split()) for *_, t, s in rows)
+    words = [(60, 150, 300, 700, 1500)[c] * 40 for c in range(5)]
+    quota = total / 7
+    factor = quota / sum(w * f for w, f in zip(words, mixing.FAVOUR, strict=True))
+    assert factor * mixing.FAVOUR[-1] < 1
+    assert all(abs(o - factor * f) < 0.06 for o, f in zip(often, mixing.FAVOUR, strict=True)), (often, factor)
+
+
 @pytest.mark.parametrize(("url", "want"), [
     ("https://a.Example.NET/en/x", ("a.example.net", "/en/x", "example.net/en/", "allow")), ("http://x.net/y?z", ("x.net", "/y", "net/", "block")), ("http://x.net?q", ("x.net", "", None, None)),
     ("http://badexample.com/de/", ("badexample.com", "/de/", None, None)), ("http://q.org/fr/#a", ("q.org", "/fr/", "org/fr/", "allow")), ("no scheme", ("", "", None, None)), (None, ("", "", None, None)), ("x://", ("", "", None, None)),
@@ -201,6 +230,27 @@ def test_url_rules(tmp_path, url, want):
     assert url_filter.DigestIndex(path).judge([url]) == [want]
 
 
+def test_long_hosts_cost_no_more(tmp_path):
+    url_filter.DigestIndex.write(path := str(tmp_path / "i"), url_filter.RULES)
+    index, seen = url_filter.DigestIndex(path), []
+    lookup = index.lookup
+    index.lookup = lambda probes: seen.append(probes) or lookup(probes)
+    assert index.judge([f"http://{'a.' * 50000}example.net/en/"])[0][2:] == ("example.net/en/", "allow")
+    assert len(seen[0]) <= 4 and sum(map(len, seen[0])) < 100
+
+
+def test_equally_long_rules_go_to_the_longer_host(tmp_path):
+    url_filter.DigestIndex.write(path := str(tmp_path / "i"), [("block", "b.c", "/xy"), ("allow", "a.b.c", "/")])
+    assert url_filter.DigestIndex(path).judge(["http://a.b.c/xyz", "http://b.c/xyz", "http://c/xyz"]) == [("a.b.c", "/xyz", "a.b.c/", "allow"), ("b.c", "/xyz", "b.c/xy", "block"), ("c", "/xyz", None, None)]
+
+
+def test_url_filter_odd_rows(spark):
+    rows = [(1, "http://x.net/a", "q"), (1, "http://x.net/a", "q"), (None, None, "q"), (2, "", "q")]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict string")
+    assert sorted((r.page_id or 0, r.verdict) for r in url_filter.url_filter(df).collect()) == [(0, "allow"), (1, "block"), (1, "block"), (2, "allow")]
+    assert url_filter.url_filter(df.limit(0)).count() == 0
+
+
 def test_url_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda _: 7)
     url_filter.DigestIndex.write(path := str(tmp_path / "i"), url_filter.RULES)
@@ -296,8 +346,39 @@ def test_warc_round_trip(spark, tmp_path):
         got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
         assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len((t or "").encode()), hashlib.sha1((t or "").encode()).hexdigest()) for i, _, t in rows}
         assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {0: 2, 6: 7}
-    stream = b"".join(r.data for r in spark.read.parquet(str(tmp_path / "1")).orderBy("archive", "block").collect())
-    assert [r[0] for r in warc.parse(stream)] .__len__() == len(rows)
+    stream = b"".join(r.data for r in spark.read.parquet(str(tmp_path / "1/records")).orderBy("archive", "block").collect())
+    assert len(list(warc.parse(stream))) == len(rows)
+
+
+def test_warc_notices_every_missing_row(spark, tmp_path):
+    rows = [(i, None, t) for i, t in enumerate(["é" * 40000, "small", "x" * 50000, None])]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), whole := str(tmp_path / "whole"))
+    stored, index = spark.read.parquet(f"{whole}/records").collect(), spark.read.parquet(f"{whole}/index")
+    assert warc.read_archives(spark, whole).count() == 4
+    for n in range(len(stored)):
+        spark.createDataFrame(stored[:n] + stored[n + 1 :], warc.TABLE).write.parquet(f"{(path := str(tmp_path / str(n)))}/records")
+        index.write.parquet(f"{path}/index")
+        with pytest.raises(warc.Damaged):
+            warc.read_archives(spark, path)
+    large = sorted((r.record, r.chunk, r.data) for r in stored if r.record)
+    for n in range(len(large)):
+        with pytest.raises(warc.Damaged):
+            list(warc.follow(large[:n] + large[n + 1 :]))
+    with pytest.raises(warc.Damaged):
+        list(warc.follow([*large[:-1], (*large[-1][:2], large[-1][2][:-1])]))
+
+
+def test_warc_names_repeated_pages_apart(spark, tmp_path):
+    rows = [(1, None, "a"), (1, None, "a"), (2, None, "b"), (None, None, "c"), (None, None, "d"), (7, None, "e" * 2000), (7, None, "e" * 2000), (3, None, "e" * 2000)]
+    df = spark.createDataFrame([(*r, "clash", "x") for r in rows], "page_id long, url string, html string, digest string, payload string")
+    warc.write_archives(df, path := str(tmp_path / "a"))
+    stream = [r.data for r in spark.read.parquet(f"{path}/records").collect()]
+    names = [m for data in stream for m in re.findall(rb"WARC-Record-ID: (\S+)", data)]
+    assert len(names) == len(set(names)) == len(rows)
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to) for r in warc.read_archives(spark, path).collect())
+    assert got == [(0, "response", None)] * 2 + [(1, "response", None)] * 2 + [(2, "response", None), (3, "revisit", 7), (7, "response", None), (7, "response", None)]
+    warc.write_archives(df.limit(0), empty := str(tmp_path / "empty"))
+    assert warc.read_archives(spark, empty).count() == 0
 
 
 def test_quality_on_held_out_rows(spark, odd):
@@ -309,14 +390,3 @@ def test_quality_on_held_out_rows(spark, odd):
     scored = quality.score_quality(odd, quality.train(["a b", "c d"], [1, 0])).collect()
     assert len(scored) == len(ODD) and all(0 <= r.score <= 1 for r in scored)
     assert quality.train(["a"], [1])[1] > 0 and quality.train([], [])[1] == 0
-
-
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs, stage = spark.read.parquet(f"{SF}/documents.parquet"), {}
-    for name, f in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(f(spark, docs, SF).collect(), f(spark, docs, SF).schema)
-        stage[name] = docs
-        assert name == "BPE" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert stage["line dedup"].count() == stage["quality"].count() >= stage["SimHash near-dedup"].count() > 0 < docs.count()
