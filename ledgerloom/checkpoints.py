@@ -6,19 +6,28 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MARKED: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, in local mode only, a temporary folder."""
+    """The application's own folder below spark.checkpoint.dir, or, in local mode only, a temporary one.
+
+    It is deleted when the application ends.
+    """
     sc = spark.sparkContext
-    if (have := sc.getCheckpointDir()) is not None:
-        return have
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="ledgerloom-")
-    sc.setCheckpointDir(where)
-    return sc.getCheckpointDir()
+    if sc.getCheckpointDir() is None:
+        where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = tempfile.mkdtemp(prefix="ledgerloom-")
+        sc.setCheckpointDir(where)
+    have = sc.getCheckpointDir()
+    if have not in _MARKED:
+        at = spark._jvm.org.apache.hadoop.fs.Path(have)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _MARKED.add(have)
+    return have
 
 
 def cut(df: DataFrame) -> DataFrame:
