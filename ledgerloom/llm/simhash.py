@@ -27,8 +27,9 @@ from .common import FOLD, bounded, cut, join_heavy, per_row, spare, table
 SEED, WORDS, RADIUS = 42, 3, 2
 #: Blocks of four segments (eight bits of a fingerprint).
 BLOCKS = 8
-#: Near duplicates by similarity: words of a shingle, least Jaccard similarity, members of a block of pairs, bits of a set's parity.
-NEAR_WORDS, SIMILARITY, BLOCK, BITS = 5, 0.8, 1000, 1024
+#: Near duplicates by similarity: words of a shingle, least Jaccard similarity, members of a block of pairs, and least and
+#: most bits of a set's parity.
+NEAR_WORDS, SIMILARITY, BLOCK, BITS = 5, 0.8, 1000, (1024, 65_536)
 #: One document in how many is sampled for common shingles, the count there that makes one common, and how many are taken at most.
 HOT_OF, HOT_LEAST, HOT_MOST = 16, 3, 300_000
 #: Ids up to which a set of them (some 10 bytes each) is broadcast.
@@ -144,12 +145,22 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
 
 
-def parity(h: np.ndarray) -> bytes:
-    """BITS bits: for each, whether the set has an odd number of members there. Sets differ in at least as many members as parities in bits."""
-    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def parity(h: np.ndarray) -> np.ndarray:
+    """For each of some bits, whether the set has an odd number of members there: as many bits as members, up to the next
+    power of two, within BITS. Sets differ in at least as many members as parities in bits."""
+    n = min(max(1 << (len(h) - 1).bit_length(), BITS[0]), BITS[1]) if len(h) else BITS[0]
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (n - 1), minlength=n) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
+def parity_distance(x: Column, y: Column) -> Column:
+    """Bits in which two parities differ; one of twice the other's length is folded first. Null beyond that."""
+    length = F.least(F.size(x), F.size(y))
+    xor = lambda a, b: a.bitwiseXOR(b)
+    folded = lambda c: F.when(F.size(c) > length, F.zip_with(F.slice(c, F.lit(1), length), F.slice(c, length + 1, F.size(c) - length), xor)).otherwise(c)
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda a, b: a + b)
+
+
 def words_digest(text: str | None) -> bytes:
     """128 bits of the words, whatever stands between them."""
     return xxhash.xxh3_128_digest(b" ".join((text or "").encode().translate(FOLD).split()), 7)
@@ -244,7 +255,7 @@ def near_duplicates(
         return cut(per_row(chosen, ["id"], "body", {"set": "array<long>"}, build))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        odd = F.aggregate(F.zip_with("bits_x", "bits_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+        odd = parity_distance(F.col("bits_x"), F.col("bits_y"))
         most = (1 - similarity) / (1 + similarity) * (F.col("n_x") + F.col("n_y")) + 1e-6
         sizes = F.least("n_x", "n_y") >= similarity * F.greatest("n_x", "n_y") - 1e-6
         close = cut(pairs.join(sketches("x"), "x").join(sketches("y"), "y").filter(sizes & (odd <= most)).select("x", "y").distinct())
