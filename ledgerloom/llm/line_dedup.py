@@ -16,24 +16,30 @@ from .common import cut, spare, table, whole
 
 #: A line is dropped when it stands on more than this share of its site's pages, and on more than one page.
 RATIO = 0.1
-#: Flagged lines, over all sites, up to which their digests (32 bytes a line) are broadcast; beyond it sites are joined by shuffle.
+#: Flagged lines, over all sites, up to which their hashes (33 bytes a line) are broadcast; beyond it sites are joined by shuffle.
 BROADCAST_LINES = 100_000
 
 
-def _key(line: Column) -> Column:
-    return F.md5(line.cast("binary"))
+def _hash(line: Column) -> Column:
+    """128 bits."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("line"), line).alias("b"))
+
+
+def _key(a: Column, b: Column) -> Column:
+    """The hash as text, since sets of plain values are hashed and sets of structs are not."""
+    return F.concat(F.hex(a), F.lit("."), F.hex(b))
 
 
 def boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", *, ratio: float = RATIO, by_content: bool = True) -> DataFrame:
-    """site, line (digest), pages, total: the lines to drop. A page counts a line once; empty lines never count.
+    """site, line (its hash, a and b), pages, total: the lines to drop. A page counts a line once; empty lines never count.
 
     Pages are the distinct texts of a site, or its rows if not by content. A line on a single page is shared by nothing
     and never dropped, or a site of fewer than 1 / ratio pages would lose all it has.
     """
-    pages = df.select(F.col(site_col).alias("site"), whole(text_col).alias("body"), _key(whole(text_col)).alias("page"))
+    pages = df.select(F.col(site_col).alias("site"), whole(text_col).alias("body"), _hash(whole(text_col)).alias("page"))
     lines = pages.select("site", "page", F.explode(F.array_distinct(F.split("body", "\n"))).alias("line")).filter("line != ''")
     number = F.count_distinct("page") if by_content else F.count(F.lit(1))
-    seen = lines.select("site", "page", _key(F.col("line")).alias("line")).groupBy("site", "line").agg(number.alias("pages")).filter("pages > 1")
+    seen = lines.select("site", "page", _hash(F.col("line")).alias("line")).groupBy("site", "line").agg(number.alias("pages")).filter("pages > 1")
     totals = pages.groupBy(F.col("site").alias("site2")).agg(number.alias("total"))
     both = seen.join(totals, F.col("site").eqNullSafe(F.col("site2")))
     return both.filter(F.col("pages") > ratio * F.col("total")).select("site", "line", "pages", "total")
@@ -49,7 +55,7 @@ def line_dedup(
     df named lines_in or lines_dropped are replaced; all others pass through. An empty df gives no rows.
     """
     flagged = boilerplate(df, text_col, site_col, ratio=ratio, by_content=by_content)
-    by_site = cut(flagged.groupBy("site").agg(F.collect_list("line").alias("flagged"), F.count(F.lit(1)).alias("n")))
+    by_site = cut(flagged.groupBy("site").agg(F.collect_list(_key(F.col("line.a"), F.col("line.b"))).alias("flagged"), F.count(F.lit(1)).alias("n")))
     n = by_site.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     site, marks, here, left = spare(df.drop("lines_in", "lines_dropped"), "site", "flagged", "here", "left")
     by_site = by_site.select(F.col("site").alias(site), F.col("flagged").alias(marks))
@@ -57,9 +63,10 @@ def line_dedup(
     plain = df.drop("lines_in", "lines_dropped")
     out = plain.join(side, F.col(f"`{site_col}`").eqNullSafe(F.col(site)), "left")
     lines = F.split(whole(text_col), "\n")
-    met = F.when(F.col(marks).isNotNull(), F.array_intersect(F.transform(lines, _key), F.col(marks)))
+    named = lambda x: _key(F.xxhash64(x), F.xxhash64(F.lit("line"), x))
+    met = F.when(F.col(marks).isNotNull(), F.array_intersect(F.transform(lines, named), F.col(marks)))
     out = out.withColumn(here, met)
-    kept = F.when(F.size(here) > 0, F.filter(lines, lambda x: ~F.array_contains(F.col(here), _key(x)))).otherwise(lines)
+    kept = F.when(F.size(here) > 0, F.filter(lines, lambda x: ~F.array_contains(F.col(here), named(x)))).otherwise(lines)
     out = out.withColumn(left, kept).withColumn("lines_in", F.size(lines).cast("long"))
     out = out.withColumn("lines_dropped", F.col("lines_in") - F.size(left)).withColumn(text_col, F.array_join(left, "\n"))
     return out.drop(site, marks, here, left)
