@@ -15,7 +15,7 @@ from ..checkpoints import cut, shared_dir
 
 __all__ = [
     "ARROW", "FOLD", "HEAVY", "WORD", "ascii_lower", "bounded", "cut", "join_heavy", "per_row", "scratch", "shared_dir",
-    "slices", "spare", "table", "whole",
+    "slices", "small_batches", "spare", "table", "whole",
 ]
 
 #: Words are runs of anything but space and the ASCII controls 9 to 13.
@@ -23,8 +23,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z only.
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Rows and bytes of whole texts that a Python worker takes apart at once; a longer text is a slice of its own.
-SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
+#: Rows and bytes of whole texts that a Python worker takes apart at once, and the bytes of an Arrow batch; a longer text
+#: is a slice, and a batch, of its own.
+SLICE_ROWS, SLICE_BYTES, BATCH_BYTES = 256, 4 << 20, 4 << 20
 #: Rows of a group from which it counts as heavy, heavy groups up to which they are broadcast, and salts beyond that.
 HEAVY, HEAVY_GROUPS, SALTS = 1000, 100_000, 64
 
@@ -54,6 +55,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from here on in this session; their number of rows stays as it is set.
+
+    Spark reads the setting when a query runs, so it cannot be put back before a lazy result is used; it only ever
+    falls, and no query gives other rows for it.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    at = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < at <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z only; texts that are ASCII throughout take the faster built-in."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -112,8 +125,9 @@ def per_row(df: DataFrame, keep: list[str], value: str, out: dict[str, str], mak
     """`keep` as it is, plus the columns `out`, worked out from the values of one string or binary column.
 
     make() runs once in each task and returns what turns a list of values into a list of columns. A worker holds one
-    Arrow batch (Spark ends it at spark.sql.execution.arrow.maxBytesPerBatch) and takes a slice of it apart at a time.
+    Arrow batch and takes a slice of it apart at a time.
     """
+    small_batches(df.sparkSession)
     value_name = spare(df, "value")[0]
     slim = df.select(*(F.col(f"`{c}`") for c in keep), F.col(value).alias(value_name))
     fields = [slim.schema[c] for c in keep] + [T.StructField(c, ARROW[t][0]) for c, t in out.items()]

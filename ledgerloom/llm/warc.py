@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_heavy, scratch, table
+from .common import cut, join_heavy, scratch, small_batches, table
 
 #: Payload bytes of a chunk, bytes of a block of whole records, least payload that is worth a revisit.
 CHUNK, BLOCK, LEAST = 16_384, 262_144, 1000
@@ -158,6 +158,7 @@ def write_archives(
     identifiers of repeated ids (null ones too) are told apart by a suffix. Other columns are ignored; an empty df
     writes empty tables.
     """
+    small_batches(df.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     pages = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("payload"))
     pages = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
@@ -195,6 +196,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Raises Damaged if an archive lacks a row that the index counts; a record that is cut off or altered fails the query.
     """
+    small_batches(spark)
     stored = spark.read.schema(TABLE).parquet(f"{path}/records")
     index = spark.read.schema("archive string, rows bigint").parquet(f"{path}/index")
     have = stored.groupBy("archive").agg(F.count_distinct("block").alias("blocks"), F.max("block").alias("last"), F.count(F.lit(1)).alias("have"))
