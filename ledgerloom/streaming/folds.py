@@ -7,6 +7,7 @@ the state as it was.
 from __future__ import annotations
 
 import copy
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.consensus import INTERVAL, next_target, proves_work
+from ..functions.identity import block_work
+
 Step = Callable[[dict, dict], tuple[dict, list[dict]]]
 
 
@@ -22,24 +26,54 @@ class Refused(ValueError):
     """A row that the state does not allow."""
 
 
+#: Sources that a snapshot names at most, and the transitions that are delivered.
+MOST_SOURCES, DELIVERED = 32, ("triggered", "corrected", "retracted")
+
+
+def _sources(value: list | int) -> tuple[list | int, int]:
+    """Names of sources in order, or their number, and the number."""
+    named = sorted(set(value)) if isinstance(value, list) else value
+    return named, len(named) if isinstance(named, list) else named
+
+
+def _snapshot(rule: dict, row: dict) -> dict:
+    """What of a row makes two snapshots the same; refuses one that contradicts itself or the rule."""
+    (eligible, n), (unavailable, m) = _sources(row["eligible"]), _sources(row["unavailable"])
+    both = set(eligible) & set(unavailable) if isinstance(eligible, list) and isinstance(unavailable, list) else ()
+    if row["revision"] < 1 or row["at"] < 0 or both or not 0 < n + m <= MOST_SOURCES:
+        raise Refused("revision or time below the least, sources on both sides, none, or too many")
+    if row.get("completeness") == "complete" and m:
+        raise Refused("complete, though a source is unavailable")
+    for name in ("fee_rate", "quorum"):
+        if row.get(name) is not None and name in rule and row[name] != rule[name]:
+            raise Refused(f"the snapshot has another {name} than the rule")
+    seen = {c: row.get(c) for c in ("at", "vbytes", "completeness")}
+    return seen | {"eligible": eligible, "unavailable": unavailable, "correction": bool(row["correction"])}
+
+
 def alert_step(rule: dict) -> Step:
     """Quorum alert: more than `threshold` for `needed` snapshots in a row, with a cooldown from the last trigger.
 
-    rule: quorum, threshold, needed, cooldown, suppress (whether an unavailable source degrades). row: revision, at,
-    vbytes, eligible, unavailable (counts), correction.
+    rule: quorum, threshold, needed, cooldown, suppress (whether known incompleteness or an unavailable source degrades),
+    and, where snapshots carry one, fee_rate. row: revision, at, vbytes, eligible and unavailable (lists of sources, or
+    their numbers), correction, and optionally completeness, fee_rate and quorum.
     """
 
     def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-        s, seen = dict(state), [row["at"], row["vbytes"], row["eligible"], row["unavailable"], bool(row["correction"])]
-        tell = lambda what: (s, [{"revision": row["revision"], "transition": what, "active": s.get("active", False)}])
+        s, seen = dict(state), _snapshot(rule, row)
+
+        def tell(what: str) -> tuple[dict, list[dict]]:
+            return s, [{"revision": row["revision"], "transition": what, "active": s.get("active", False), "delivery": what in DELIVERED}]
+
         if row["revision"] == s.get("revision"):
             if seen != s["seen"]:
                 raise Refused("a revision came twice with different content")
             return tell("duplicate_revision")
-        if row["revision"] < s.get("revision", 0) or row["at"] < s.get("seen", [row["at"]])[0]:
+        if row["revision"] < s.get("revision", 0) or row["at"] < s.get("seen", row)["at"]:
             raise Refused("revision or time went back")
         s |= {"revision": row["revision"], "seen": seen}
-        if row["eligible"] < rule["quorum"] or rule["suppress"] and row["unavailable"]:
+        incomplete = row.get("completeness") == "known_incomplete" or _sources(row["unavailable"])[1]
+        if _sources(row["eligible"])[1] < rule["quorum"] or rule["suppress"] and incomplete:
             s["streak"] = 0
             return tell("degraded_source")
         if row["vbytes"] <= rule["threshold"]:
@@ -71,29 +105,65 @@ def coverage_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     return {"revision": row["revision"]}, [{"range_start": state["start"], "range_end": row["at"], "completeness": "recovered", "revision": row["revision"], "evidence": sorted(set(row["evidence"]))}]
 
 
-def fork_choice_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
-    """Heaviest chain: row has hash, parent, work. Disconnects run from the old tip down, connects up to the new one."""
-    blocks = state.get("blocks", {})
-    if row["hash"] in blocks:
-        return state, []
-    parent = blocks.get(row["parent"])
-    if blocks and parent is None:
-        raise Refused("unknown parent")
-    added = [row["parent"], parent[1] + 1, parent[2] + int(row["work"])] if parent else [None, 0, int(row["work"])]
-    s = {"blocks": blocks | {row["hash"]: added}, "tip": state.get("tip"), "revision": state.get("revision", 0)}
-    if s["tip"] is not None and added[2] <= blocks[s["tip"]][2]:
-        return s, []
-    known, off, on, a, b = s["blocks"], [], [], s["tip"], row["hash"]
-    while a != b:
-        if b is not None and (a is None or known[b][1] > known[a][1]):
-            on.insert(0, b)
-            b = known[b][0]
-        else:
-            off.append(a)
-            a = known[a][0]
-    moves = [("disconnect", h) for h in off] + [("connect", h) for h in on]
-    out = [{"revision": s["revision"] + i, "action": what, "hash": h, "height": known[h][1]} for i, (what, h) in enumerate(moves, 1)]
-    return s | {"tip": row["hash"], "revision": s["revision"] + len(moves)}, out
+def ancestor_at(blocks: dict, tip: str, height: int) -> str:
+    """The ancestor of a block (or it itself) at a height."""
+    while blocks[tip][1] > height:
+        tip = blocks[tip][0]
+    if blocks[tip][1] != height:
+        raise Refused("no ancestor at this height")
+    return tip
+
+
+def _required(blocks: dict, parent: str, height: int, retargets: bool) -> int:
+    """Target of the block after a parent: its parent's, but for the first of an interval, which looks back over the last one."""
+    bits, first = blocks[parent][3], None
+    if retargets and height % INTERVAL == 0:
+        first = blocks[ancestor_at(blocks, parent, height - INTERVAL)][4]
+    return next_target(bits, height, first, blocks[parent][4], retargets=retargets)
+
+
+def fork_choice(*, proof: bool = False, retargets: bool = True) -> Step:
+    """Heaviest chain: a row has hash, parent and work. Disconnects run from the old tip down, connects up to the new one.
+
+    The first block has no parent (null, or zeros only). With `proof` rows have bits and time instead of work: the hash must
+    meet the block's own target and that must be the required one; work follows from it.
+    """
+
+    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+        blocks, name = state.get("blocks", {}), row["hash"]
+        if name in blocks:
+            return state, []
+        parent = blocks.get(row["parent"])
+        if parent is None and (blocks or (row["parent"] or "").strip("0")):
+            raise Refused("unknown parent, or a first block with one")
+        height = parent[1] + 1 if parent else 0
+        if proof:
+            required = _required(blocks, row["parent"], height, retargets) if parent else row["bits"]
+            if not proves_work(name, row["bits"], required):
+                raise Refused("the hash does not prove the required work")
+        work = (parent[2] if parent else 0) + (block_work(row["bits"]) if proof else int(row["work"]))
+        if work >= 1 << 256:
+            raise Refused("work beyond 256 bits")
+        added = [row["parent"] if parent else None, height, work, row.get("bits"), row.get("time")]
+        s = {"blocks": blocks | {name: added}, "tip": state.get("tip"), "revision": state.get("revision", 0)}
+        if s["tip"] is not None and work <= blocks[s["tip"]][2]:
+            return s, []
+        known, off, on, a, b = s["blocks"], [], [], s["tip"], name
+        while a != b:
+            if b is not None and (a is None or known[b][1] > known[a][1]):
+                on.append(b)
+                b = known[b][0]
+            else:
+                off.append(a)
+                a = known[a][0]
+        moves = [("disconnect", h) for h in off] + [("connect", h) for h in reversed(on)]
+        out = [{"revision": s["revision"] + i, "action": what, "hash": h, "height": known[h][1]} for i, (what, h) in enumerate(moves, 1)]
+        return s | {"tip": name, "revision": s["revision"] + len(moves)}, out
+
+    return step
+
+
+fork_choice_step = fork_choice()
 
 
 def utxo_apply(state: dict, block: dict) -> tuple[dict, list[dict]]:
@@ -138,6 +208,60 @@ def utxo_revert(state: dict, block_hash: str) -> tuple[dict, list[dict]]:
     return {"tip": parent, "live": live, "undo": state["undo"][:-1]}, events
 
 
+def utxo_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    """apply {hash, parent, txs} or revert {hash}, by `action`."""
+    return utxo_revert(state, row["hash"]) if row["action"] == "revert" else utxo_apply(state, row)
+
+
+def utxo_hash(live: dict) -> str:
+    """SHA-256 over the unspent outputs in the order of their names, each with its value."""
+    whole = hashlib.sha256()
+    for point, value in sorted(live.items()):
+        whole.update(f"{point}={value};".encode())
+    return whole.hexdigest()
+
+
+def chain_step(choice: Step = fork_choice_step) -> Step:
+    """Fork choice and unspent outputs as one: a row is a block {offset, hash, parent, work, txs}.
+
+    All that a block moves is applied, or nothing is. Tells one checkpoint a row: the offset, the tip, the revision of the
+    last move, the digest of the unspent outputs, and how many outputs were made and taken back on the way.
+    """
+
+    def step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+        if row["offset"] <= state.get("offset", -1):
+            return state, []
+        dag, moves = choice(state.get("dag", {}), row)
+        bodies = state.get("bodies", {}) | {row["hash"]: {"hash": row["hash"], "parent": dag["blocks"][row["hash"]][0], "txs": row["txs"]}}
+        utxo, events = state.get("utxo", {}), 0
+        for move in moves:
+            utxo, told = utxo_apply(utxo, bodies[move["hash"]]) if move["action"] == "connect" else utxo_revert(utxo, move["hash"])
+            events += len(told)
+        point = {"offset": row["offset"], "tip": dag["tip"], "revision": dag["revision"], "state_hash": utxo_hash(utxo.get("live", {})), "events": events}
+        return {"dag": dag, "bodies": bodies, "utxo": utxo, "offset": row["offset"]}, [point]
+
+    return step
+
+
+def align_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    """Sequence numbers of one feed: {action: sequence, sequence, at} or {action: snapshot}.
+
+    A number that does not follow the last (past 2**64 - 1 comes 0) opens a gap; after a snapshot the next number aligns
+    the feed anew, whatever it is, and closes the gap.
+    """
+    if row["action"] == "snapshot":
+        return (state | {"waits": True} if "gap_from" in state else state), []
+    s, n = dict(state), row["sequence"]
+    last = s.get("last")
+    s["last"] = n
+    if s.pop("waits", False):
+        return {k: v for k, v in s.items() if k != "gap_from"}, [{"event": "reconciled", "expected": None, "sequence": n, "gap_from": s["gap_from"], "gap_until": row["at"]}]
+    if last is None or n == (last + 1) % (1 << 64):
+        return s, []
+    s["gap_from"] = row["at"]
+    return s, [{"event": "gap", "expected": (last + 1) % (1 << 64), "sequence": n, "gap_from": row["at"], "gap_until": None}]
+
+
 def membership_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """One observer's pool: add, remove, or snapshot {sequence, members}; what changes nothing says nothing."""
     s = copy.deepcopy(state) or {"members": {}, "epochs": {}, "sequence": -1, "snapshot": None}
@@ -213,11 +337,15 @@ def canonical_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
                 raise Refused("nothing old or new, or the old blocks are not the end of the chain")
             if final >= len(chain) - len(old):
                 raise Refused("a finalized block would be reorged")
+            if any(h in chain for h in blocks):
+                raise Refused("a replacement is canonical already")
             for h in reversed(old):
                 tell(h, "reorged")
             chain = chain[: -len(old)]
             safe = -1 if safe >= len(chain) else safe
-        elif not blocks or blocks == chain[-len(blocks) :]:
+        elif not blocks or all(h in chain for h in blocks):
+            if blocks and chain[(at := chain.index(blocks[0])) : at + len(blocks)] != blocks:
+                raise Refused("the blocks are canonical in another order")
             return state, []
         if chain and row["parent"] != chain[-1]:
             raise Refused("the blocks do not extend the head")
