@@ -43,6 +43,24 @@ def ancestors(nodes: DataFrame, node: str, parent: str, limit: int = 64) -> Data
     raise ValueError("parents form a cycle")
 
 
+def descendants(nodes: DataFrame, node: str, parent: str) -> DataFrame:
+    """node, descendants, for nodes with any: doubled pointers carry sums upward, and no pairs are made.
+
+    A round adds to each node's count the counts of the nodes whose jump ends there, then doubles the jumps.
+    """
+    jump = cut(_jumps(nodes, node, parent))
+    count = cut(jump.select("node", F.lit(1).cast("long").alias("n")))
+    limit = jump.count().bit_length() + 1
+    for _ in range(limit):
+        if jump.filter("next IS NOT NULL").isEmpty():
+            return count.filter("n > 1").select("node", (F.col("n") - 1).alias("descendants"))
+        given = jump.filter("next IS NOT NULL").join(count, "node").groupBy(F.col("next").alias("node")).agg(F.sum("n").alias("more"))
+        count = cut(count.join(given, "node", "left").select("node", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        step = jump.select(F.col("node").alias("_at"), F.col("next").alias("_next"))
+        jump = cut(jump.join(step, F.col("next") == F.col("_at"), "left").select("node", F.col("_next").alias("next")))
+    raise ValueError("parents form a cycle")
+
+
 def _jumps(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """node, next: the parent; null where it is null, the node itself or unknown."""
     known = nodes.select(F.col(node).alias("_known"))
@@ -85,13 +103,64 @@ def below(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFra
     raise ValueError("parents form a cycle")
 
 
-def path_difference(closure: DataFrame, old, new) -> DataFrame:
-    """Blocks to disconnect (from the old tip down) and to connect (up to the new tip), in the order of application."""
-    own = lambda tip: closure.filter(F.col("node") == F.lit(tip)).select("ancestor", "steps").unionByName(closure.sparkSession.createDataFrame([(tip, 0)], "ancestor long, steps long"))
-    a, b = own(old), own(new)
-    off = a.join(b.select("ancestor"), "ancestor", "left_anti").select(F.lit("disconnect").alias("action"), "ancestor", F.col("steps").alias("place"))
-    on = b.join(a.select("ancestor"), "ancestor", "left_anti").select(F.lit("connect").alias("action"), "ancestor", (-F.col("steps")).alias("place"))
-    return off.unionByName(on)
+def path_moves(nodes: DataFrame, node: str, parent: str, old, new) -> DataFrame:
+    """action (disconnect or connect) and node: what leaves and what enters the chain when its tip moves from old to new.
+
+    Only the two paths are walked, each by doubling; a caller that applies them takes disconnects from the old tip down
+    and connects up to the new one, in the order of heights.
+    """
+    one = lambda tip: nodes.filter(F.col(node) == F.lit(tip)).select(node)
+    a, b = above(nodes, node, parent, one(old)), above(nodes, node, parent, one(new))
+    off = a.join(b, "node", "left_anti").select(F.lit("disconnect").alias("action"), "node")
+    return off.unionByName(b.join(a, "node", "left_anti").select(F.lit("connect").alias("action"), "node"))
+
+
+def ancestor_at(nodes: DataFrame, node: str, parent: str, height: int) -> DataFrame:
+    """node, ancestor: of every node at least so high, its ancestor (or itself) at that height over its root.
+
+    Distances double: a node jumps while the jump does not pass the height, so the work is log2(depth) joins.
+    """
+    depth = paths_to_root(nodes, node, parent).select("node", "depth")
+    jump, jumps, most = cut(_jumps(nodes, node, parent)), [], depth.agg(F.max("depth")).first()[0] or 0
+    while 1 << len(jumps) <= most:
+        jumps.append(jump)
+        step = jump.select(F.col("node").alias("_at"), F.col("next").alias("_next"))
+        jump = cut(jump.join(step, F.col("next") == F.col("_at"), "left").select("node", F.col("_next").alias("next")))
+    at = cut(depth.filter(F.col("depth") >= height).select("node", F.col("node").alias("ancestor"), (F.col("depth") - height).alias("left")))
+    for k in reversed(range(len(jumps))):
+        step = jumps[k].select(F.col("node").alias("_at"), F.col("next").alias("_next"))
+        far = F.col("left") >= (1 << k)
+        met = at.join(step, F.col("ancestor") == F.col("_at"), "left")
+        at = cut(met.select("node", F.when(far, F.col("_next")).otherwise(F.col("ancestor")).alias("ancestor"), F.when(far, F.col("left") - (1 << k)).otherwise(F.col("left")).alias("left")))
+    return at.select("node", "ancestor")
+
+
+def lineage(roots: DataFrame, nodes: DataFrame, edges: DataFrame, *, max_depth: int, max_nodes: int) -> DataFrame:
+    """root, nodes, depth, fault: how far each fact (`root`) leads back to observations, within bounds.
+
+    nodes has node and observed, edges node and parent. One join a step of depth, so at most max_depth joins; a root that
+    passes a bound, meets an unknown node or ends in something that is no observation has the name of that as its fault.
+    """
+    seen = cut(roots.select("root", F.col("root").alias("node"), F.lit(0).cast("long").alias("depth")))
+    front, known = seen, nodes.select("node", "observed", F.lit(True).alias("_known"))
+    passed = None
+    for depth in range(1, max_depth + 2):
+        step = front.select("root", "node").join(edges, "node").select("root", F.col("parent").alias("node")).distinct()
+        front = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").select("root", "node", F.lit(depth).cast("long").alias("depth")))
+        if depth > max_depth:
+            passed = front.select("root", F.lit(True).alias("_deep")).distinct()
+            break
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    ends = seen.join(known, "node", "left").join(edges.select("node", F.lit(True).alias("_on")).distinct(), "node", "left")
+    told = ends.groupBy("root").agg(
+        F.count(F.lit(1)).alias("nodes"), F.max("depth").alias("depth"), F.count_if(F.col("_known").isNull()).alias("_unknown"), F.count_if(F.col("observed")).alias("_observed"),
+        F.count_if(~F.coalesce("observed", F.lit(False)) & F.col("_on").isNull()).alias("_loose"),
+    )
+    told = told.join(passed, "root", "left") if passed is not None else told.withColumn("_deep", F.lit(None).cast("boolean"))
+    fault = F.when(F.col("_unknown") > 0, "unknown_node").when(F.col("_deep"), "too_deep").when(F.col("nodes") > max_nodes, "too_many_nodes").when((F.col("_loose") > 0) | (F.col("_observed") == 0), "no_observation")
+    return told.select("root", "nodes", "depth", fault.alias("fault"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -41,10 +41,12 @@ def replacements(transactions: DataFrame, conflicts: DataFrame, tx: str = "txid"
     conflicts has txid and conflicting_txid. Without a conflict there is no classification; otherwise it is observed,
     reconciled or, without evidence, inferred. Evidence that names no conflicting transaction is not valid.
     """
-    edges = conflicts.groupBy(F.col("txid").alias("_tx")).agg(F.collect_set("conflicting_txid").alias("_against"))
-    met = transactions.join(edges, F.col(tx) == F.col("_tx"), "left")
+    edges = conflicts.select(F.col("txid").alias("_tx"), F.col("conflicting_txid").alias("_other"), F.lit(True).alias("_named")).distinct()
+    met = transactions.join(edges.select("_tx").distinct(), F.col(tx) == F.col("_tx"), "left")
+    pairs = edges.select(F.col("_tx").alias("_tx2"), "_other", "_named")
+    met = met.join(pairs, (F.col(tx) == F.col("_tx2")) & (F.col("replaced_txid") == F.col("_other")), "left")
     kind = F.when(F.col("evidence") == "direct", "observed").when(F.col("evidence") == "reconciled", "reconciled").otherwise("inferred")
-    named = F.coalesce(F.array_contains("_against", F.col("replaced_txid")), F.lit(False))
+    named = F.coalesce("_named", F.lit(False))
     return met.select(transactions["*"], F.when(F.col("_tx").isNotNull(), kind).alias("classification"), (F.col("evidence").isNull() | named).alias("valid"))
 
 
@@ -101,11 +103,12 @@ def resume(requests: DataFrame, checkpoints: DataFrame, domain: str) -> DataFram
     return met.select(requests["*"], "request_hash", go.alias("next_height"), F.greatest(go, F.col("_kept") + 1).cast("long").alias("archive_from"), left.alias("remaining"), state.alias("state"))
 
 
-def decode(facts: DataFrame, deployments: DataFrame, decoders: dict[str, Callable[[bytes], str]], key: str, at: str, raw: str = "raw_data", most: int = 1024) -> DataFrame:
+def decode(facts: DataFrame, deployments: DataFrame, decoders: dict[str, Callable[[bytes], str]], key: str, at: str, raw: str = "raw_data", most: int = 1024, largest: int = 1 << 20) -> DataFrame:
     """facts with decoder_version, decode_status, decoded_json, error; every fact stays, and its raw bytes as they are.
 
     The version is that of the deployment in force (`joins.decoder_for`); decoders maps it to a function of the bytes
-    to JSON. No deployment or no function: unknown. A decoder that raises: failed, with the error cut to `most` bytes.
+    to JSON. No deployment or no function: unknown. A decoder that raises, or gives over `largest` bytes: failed, with the
+    error cut to `most` bytes.
     """
     kind = "decode_status string, decoded_json string, error string"
 
@@ -117,7 +120,10 @@ def decode(facts: DataFrame, deployments: DataFrame, decoders: dict[str, Callabl
                 out.append(("unknown", None, None))
                 continue
             try:
-                out.append(("decoded", decoders[v](bytes(d)), None))
+                told = decoders[v](bytes(d))
+                if len(told.encode()) > largest:
+                    raise ValueError(f"decoded JSON exceeds {largest} bytes")
+                out.append(("decoded", told, None))
             except Exception as e:  # noqa: BLE001 - whatever a decoder raises is a result
                 out.append(("failed", None, clip_bytes(str(e), most)))
         return pd.DataFrame(out, columns=["decode_status", "decoded_json", "error"], dtype=object)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.codecs import little_endian, outpoint
 
 
 def current_view(df: DataFrame, keys: list[str], columns: list[str], revision: str = "revision", tie: str | None = None) -> DataFrame:
@@ -18,9 +25,8 @@ def current_view(df: DataFrame, keys: list[str], columns: list[str], revision: s
 
 
 def latest_row(df: DataFrame, keys: list[str], revision: str) -> DataFrame:
-    """The whole row of the greatest revision of each key."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(revision).desc()))
-    return df.withColumn("_n", n).filter("_n = 1").drop("_n")
+    """The whole row of the greatest revision of each key; combined before the shuffle, so no key's rows meet in one task."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), revision).alias("_row")).select("_row.*")
 
 
 def live_accounts(view: DataFrame, status: str = "commitment") -> DataFrame:
@@ -64,3 +70,33 @@ def set_digest(df: DataFrame, keys: list[str], position: str, entry: Column, blo
     joined = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]), "|")
     blocks = part.groupBy(*keys, "_block").agg(F.sha2(joined(position, "_entry"), 256).alias("_digest"))
     return blocks.groupBy(*keys).agg(F.sha2(joined("_block", "_digest"), 256).alias("state_hash"))
+
+
+def unspent_digest(outputs: DataFrame, key: str, txid: str, vout: str, value: str, script_id: str) -> DataFrame:
+    """key, state_hash, entries: SHA-256 over a key's unspent outputs in the order of their 36-byte outpoints, each with
+    its value (eight bytes, least significant first) and script identity.
+
+    The digest is one sequence by nature: a key's rows come sorted into one task, which holds an Arrow batch at a time.
+    """
+    entry = F.concat(F.col("_point"), little_endian(F.col(value)), F.col(script_id))
+    rows = outputs.withColumn("_point", outpoint(F.col(txid), F.col(vout))).select(F.col(key), "_point", entry.alias("_entry"))
+    rows = rows.repartition(key).sortWithinPartitions(key, "_point").select(key, "_entry")
+    schema = T.StructType([rows.schema[key], T.StructField("state_hash", T.StringType()), T.StructField("entries", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([own], kind), pa.array([whole.hexdigest()]), pa.array([n], pa.int64())], [key, "state_hash", "entries"])
+
+        own, n, whole, kind, begun = None, 0, hashlib.sha256(), None, False
+        for b in batches:
+            kind = b.schema.field(0).type
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if begun and k != own:
+                    yield told()
+                    n, whole = 0, hashlib.sha256()
+                own, begun, n = k, True, n + 1
+                whole.update(data)
+        if begun:
+            yield told()
+
+    return rows.mapInArrow(run, schema)

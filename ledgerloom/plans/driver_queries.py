@@ -159,17 +159,20 @@ def transaction_fees(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").join(spent, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", (total - out).cast("decimal(38,2)").cast("string").alias("fee"), (total < out).alias("negative_fee"), F.col("spent").isNull().alias("missing"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 48)")
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_suppkey = p_partkey % 10)")
 def unspent_outputs(spark: SparkSession, sf: str) -> DataFrame:
-    spends = table(spark, sf, "lineitem").filter("l_returnflag = 'R' AND l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"))
-    return joins.unspent(table(spark, sf, "part").select("p_partkey", "p_name"), spends, ["p_partkey"])
+    """Parts as outputs of the supplier that their key names; every item is a spend of its part and supplier."""
+    spends = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("vout"))
+    outputs = table(spark, sf, "part").select("p_partkey", "p_name", (F.col("p_partkey") % 10).alias("vout"))
+    return joins.unspent(outputs, spends, ["p_partkey", "vout"]).drop("vout")
 
 
-@query("""SELECT a.o_custkey, a.o_orderkey AS txid, b.o_orderkey AS conflicting_txid FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey > b.o_orderkey
-WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'F' AND a.o_orderpriority = '1-URGENT' AND b.o_orderpriority = '1-URGENT'""")
+@query("""WITH i AS (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey FROM lineitem)
+SELECT a.l_partkey, a.l_suppkey, a.l_orderkey AS txid, b.l_orderkey AS conflicting_txid FROM i a JOIN i b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.l_orderkey > b.l_orderkey""")
 def conflict_edges(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("arrival"))
-    return joins.conflicts(o, ["o_custkey"], "o_orderkey", "arrival")
+    """All items: an order spends the output that part and supplier name."""
+    i = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey").distinct().withColumn("arrival", F.col("l_orderkey"))
+    return joins.conflicts(i, ["l_partkey", "l_suppkey"], "l_orderkey", "arrival")
 
 
 @query("""WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
@@ -236,15 +239,16 @@ def ancestor_path(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_WALK} SELECT root AS node, count(*) AS descendants FROM w WHERE depth > 0 GROUP BY root")
 def descendant_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.ancestors(_tree(spark, sf), "p_partkey", "parent").groupBy(F.col("ancestor").alias("node")).agg(F.count(F.lit(1)).alias("descendants"))
+    return graph.descendants(_tree(spark, sf), "p_partkey", "parent")
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT {_TREE}, (p_retailprice::DECIMAL(18, 2) * 100)::BIGINT AS fee FROM part WHERE p_size <= 25), w(node, cur) AS (
+@query("""WITH RECURSIVE t AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_partkey // 2 END AS parent, p_size, (p_retailprice::DECIMAL(18, 2) * 100)::BIGINT AS fee FROM part), w(node, cur) AS (
 SELECT p_partkey, p_partkey FROM t UNION ALL SELECT node, t2.p_partkey FROM w JOIN t ON cur = t.p_partkey JOIN t t2 ON t.parent = t2.p_partkey AND t2.p_partkey <> t.p_partkey), r AS (SELECT node, min(cur) AS root FROM w GROUP BY node)
 SELECT root, count(*) AS members, sum(fee)::BIGINT AS total_fee, sum(p_size)::BIGINT AS total_vsize, (sum(fee) // sum(p_size))::BIGINT AS fee_rate FROM r JOIN t ON node = p_partkey GROUP BY root""")
 def package_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as transactions that spend the part of half their number; every seventh spends none."""
     fee = (F.col("p_retailprice").cast("decimal(18,2)") * 100).cast("long").alias("fee")
-    n = table(spark, sf, "part").filter("p_size <= 25").select("p_partkey", F.expr("p_partkey div 2").alias("parent"), F.col("p_size").cast("long").alias("p_size"), fee)
+    n = table(spark, sf, "part").select("p_partkey", F.expr("CASE WHEN p_partkey % 7 <> 0 THEN p_partkey div 2 END").alias("parent"), F.col("p_size").cast("long").alias("p_size"), fee)
     edges = n.select(F.col("p_partkey").alias("a"), F.col("parent").alias("b")).join(n.select(F.col("p_partkey").alias("b")), "b", "left_semi")
     return graph.packages(n, "p_partkey", edges, "fee", "p_size")
 

@@ -6,6 +6,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from . import wire
 from .segments import COMMITTED_SCHEMA, files, to_batches
 
 LEVEL = 3
+_BYTES = [str(i) for i in range(256)]
 #: What one object has in common.
 PARTITION = ("chain", "network", "source_id", "channel", "source_session_id")
 
@@ -72,9 +74,13 @@ def write_parquet(observations: DataFrame, path: str, mode: str = "append") -> N
 
 
 def _numbers(digest: Column) -> Column:
-    """A digest as a JSON list of byte values."""
-    digits = F.transform(F.regexp_extract_all(F.hex(digest), F.lit("(..)"), F.lit(1)), lambda x: F.conv(x, 16, 10))
-    return F.concat(F.lit("["), F.array_join(digits, ","), F.lit("]"))
+    """A digest as a JSON list of byte values; null stays null."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else f"[{','.join(map(_BYTES.__getitem__, v))}]")
+
+    return run(digest)
 
 
 def manifest_json() -> Column:
