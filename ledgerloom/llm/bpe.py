@@ -23,7 +23,7 @@ from .common import per_row, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a piece is merged directly; pieces up to KEEP bytes are remembered, CACHE of them at most.
-LEAF, KEEP, CACHE = 24, 48, 800_000
+LEAF, KEEP, CACHE = 24, 48, 250_000
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,7 +49,7 @@ class Encoder(dict):
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.pieces = regex.compile(pattern).findall
-        self.stable = lru_cache(1 << 18)(self._stable)
+        self.stable = lru_cache(1 << 16)(self._stable)
 
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()

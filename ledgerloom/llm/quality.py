@@ -21,7 +21,7 @@ from .common import per_row, table
 #: Labelled rows that training takes at most (the first by hash of the id; a row has BUCKETS features at most, 8 bytes
 #: each), hash buckets, vector size, passes, step.
 TRAIN, BUCKETS, DIM, EPOCHS, RATE, SEED = 1500, 1 << 17, 12, 8, 0.35, 11
-GRAMS, FOLDS, THRESHOLD, CACHE = (3, 4), 5, 0.3, 500_000
+GRAMS, FOLDS, THRESHOLD, CACHE = (3, 4), 5, 0.3, 150_000
 REPEAT = "\0="
 
 
