@@ -71,6 +71,19 @@ def u256(text: Column) -> Column:
     return F.when((F.length(plain) < len(limit)) | ((F.length(plain) == len(limit)) & (plain <= limit)), plain)
 
 
+def hex_add(a: Column, b: Column) -> Column:
+    """Sum of two unsigned 256-bit numbers of 64 hex digits, as 64 digits; null when it does not fit.
+
+    Five parts of at most 15 digits are added as longs, the carry goes from part to part.
+    """
+    carry, parts = F.lit(0).cast("long"), []
+    for start, size in ((50, 15), (35, 15), (20, 15), (5, 15), (1, 4)):
+        total = sum((F.conv(F.substring(x, start, size), 16, 10).cast("long") for x in (a, b)), carry)
+        parts.insert(0, F.lpad(F.lower(F.hex(total % F.lit(16**size))), size, "0"))
+        carry = F.floor(F.shiftright(total, 4 * size))
+    return F.when((carry == 0) & a.rlike("^[0-9a-f]{64}$") & b.rlike("^[0-9a-f]{64}$"), F.concat(*parts))
+
+
 def u256_key(text: Column) -> Column:
     return F.lpad(text, 78, "0")
 

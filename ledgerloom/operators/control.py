@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import codecs
+from ..functions.identity import blake3_hex
+from .guards import COMPLETENESS, normalized_sources
+
 #: Bytes of an error that a delivery keeps.
 ERROR_BYTES = 1024
 
@@ -98,3 +102,38 @@ def settle(outbox: DataFrame, delivered: DataFrame, now: Column) -> DataFrame:
     later = F.timestamp_seconds(F.unix_timestamp(now) + F.col("_d.wait"))
     new = {"status": F.coalesce("_d.status", "status"), "attempts": F.coalesce("_d.attempts", "attempts"), "last_error": F.when(F.col("_d").isNull(), F.col("last_error")).otherwise(F.col("_d.last_error")), "available_at": F.coalesce(later, "available_at")}
     return met.withColumns(new).drop("_d").select(*outbox.columns)
+
+
+#: Codes of an evaluation's parts in its identity (fixed values, in order of code).
+POLICIES = ("suppress", "evaluate_healthy_quorum")
+CAUSES = ("observed", "recovered", "correction")
+TRANSITIONS = ("pending", "triggered", "confirmed", "corrected", "retracted", "degraded_source", "below_threshold", "cooldown_suppressed", "duplicate_revision")
+#: Transitions that are delivered.
+DELIVERED = ("triggered", "corrected", "retracted")
+
+
+def _short(value: Column, size: int) -> Column:
+    return F.unhex(codecs.reversed_bytes(F.lpad(F.hex(value), 2 * size, "0")))
+
+
+def _code(value: Column, names: tuple[str, ...]) -> Column:
+    return _short(F.nullif(F.array_position(F.array(*map(F.lit, names)), value), F.lit(0)) - 1, 1)
+
+
+def evaluation_id(domain: str) -> Column:
+    """Identity of an evaluation, over its definition, snapshot and transition, each field framed by its length.
+
+    Reads alert_id, network, revision, observed_at, fee_rate, vbytes, quorum, threshold, for_evaluations, cooldown,
+    eligible, unavailable, policy, transition, completeness and cause. Order and repeats of sources do not matter, a null
+    source counts for none; a null or unknown name in any other column gives null.
+    """
+    eight, text = lambda c: codecs.little_endian(F.col(c)), F.col
+    several = lambda c: F.unhex(F.array_join(F.transform(normalized_sources(F.col(c)), lambda s: F.hex(codecs.framed(s))), ""))
+    head = codecs.framed(F.lit(domain), text("alert_id"), text("network"), *map(eight, ("revision", "observed_at", "fee_rate", "vbytes")), _short(F.col("quorum"), 2), eight("threshold"), _short(F.col("for_evaluations"), 2), eight("cooldown"), _code(F.col("policy"), POLICIES), _code(F.col("transition"), TRANSITIONS))
+    tail = codecs.framed(_code(F.col("completeness"), COMPLETENESS), _code(F.col("cause"), CAUSES))
+    return blake3_hex(F.concat(head, several("eligible"), codecs.framed(F.lit("unavailable")), several("unavailable"), tail))
+
+
+def outbox_key(domain: str, evaluation: Column, transition: Column) -> Column:
+    """Idempotency key of a delivery; null for a transition that is not delivered."""
+    return F.when(transition.isin(*DELIVERED), blake3_hex(codecs.framed(F.lit(domain), evaluation)))
