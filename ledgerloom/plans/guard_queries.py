@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..operators import control, guards, normalize
-from ..sources import feeds, tables
+from ..sources import feeds, polling, tables
 from .driver_queries import query, table
 from .oracles import blake3_sql, framed_hex, little, text_hex
 
@@ -146,3 +146,13 @@ def _sum_sql() -> str:
 def work_sums(spark: SparkSession, sf: str) -> DataFrame:
     sha = lambda c: F.sha2(F.col(c).cast("string"), 256)
     return table(spark, sf, "customer").select(_N, codecs.hex_add(sha("c_name"), sha(_N)).alias("total"))
+
+
+@query("""SELECT event_id AS tick, n_name AS message_type, event_id % 25 = 24 AS cycle_complete, '{"id":' || n_nationkey || ',"jsonrpc":"2.0","method":"' || n_name || '","params":["' || event_type || '",false]}' AS body FROM events JOIN nation ON n_nationkey = event_id % 25""")
+def poll_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as ticks of a plan of 25 calls."""
+    plan = table(spark, sf, "nation").select(F.col("n_nationkey").alias("position"), F.col("n_name").alias("message_type"))
+    ticks = table(spark, sf, "events").select(F.col("event_id").alias("tick"), "event_type")
+    params = F.concat(F.lit('["'), "event_type", F.lit('",false]'))
+    body = polling.json_rpc(F.col("message_type"), params, F.col("position"))
+    return polling.turns(ticks, plan, 25).select("tick", "message_type", "cycle_complete", body.alias("body"))

@@ -1,6 +1,8 @@
 """Guards, feeds, fact tables, alert identities and wide sums on small cases."""
 
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import codecs
 from ledgerloom.functions.identity import blake3
 from ledgerloom.operators import control, guards, normalize
-from ledgerloom.sources import feeds, tables
+from ledgerloom.sources import feeds, polling, tables
 
 
 def told(spark, rule, *texts):
@@ -155,3 +157,46 @@ def test_replay_digest_ignores_order_but_not_repeats(spark):
     digest = lambda d: sorted(tuple(r) for r in tables.replay_digest(d, ["k"], F.col("v")).collect())
     assert digest(df) == digest(df.repartition(7).orderBy(F.desc("v")))
     assert digest(df) != digest(df.unionByName(df.limit(1))) and digest(df.filter("false")) == []
+
+
+class Node(http.server.BaseHTTPRequestHandler):
+    def do_GET(self):
+        self.answer({"/ok": 200, "/busy": 429, "/down": 503, "/moved": 302, "/long": 200}.get(self.path, 404), b"x" * (100 if self.path == "/long" else 3))
+
+    def do_POST(self):
+        self.answer(200, self.rfile.read(int(self.headers["Content-Length"])))
+
+    def answer(self, status, body):
+        self.send_response(status)
+        self.send_header("Location", "/ok")
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_polling(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Node)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        base = f"http://127.0.0.1:{server.server_port}"
+        plan = [(k, "json_rpc", f"m{k}", base + path, body) for k, (path, body) in enumerate([("/ok", None), ("/busy", None), ("/down", None), ("/moved", None), ("/none", None), ("/long", None), ("/rpc", '{"a":1}')])]
+        plan.append((7, "json_rpc", "m7", "http://127.0.0.1:1/", None))
+        plan = spark.createDataFrame(plan, "position long, channel string, message_type string, url string, body string")
+        assert normalize.split(plan, **polling.request_rules())[1].count() == 0
+        due = polling.turns(spark.range(16).withColumnRenamed("id", "tick"), plan, 8)
+        got = sorted((r.tick, r.status, r.body and bytes(r.body), r.fault) for r in polling.fetch(due, 50, 5).collect())
+        once = [(200, b"xxx", None), (429, b"xxx", "retryable"), (503, b"xxx", "retryable"), (302, b"xxx", "permanent"), (404, b"xxx", "permanent"), (200, None, "too_large"), (200, b'{"a":1}', None), (None, None, "unreachable")]
+        assert got == [(t, *once[t % 8]) for t in range(16)]
+        assert polling.fetch(due.filter("false"), 50).count() == 0
+    finally:
+        server.shutdown()
+
+
+def test_requests_are_safe(spark):
+    rows = [("c", "m", "http://a.example/x"), ("c", "m", "ftp://a"), ("c", "m", "https://u:p@a/"), (" ", None, "https://a?x=@"), ("c", "m", None)]
+    good, bad = normalize.split(spark.createDataFrame(rows, "channel string, message_type string, url string"), **polling.request_rules())
+    assert good.count() == 1
+    assert sorted(",".join(r.faults) for r in bad.select("faults").collect()) == ["channel,message_type", "credentials", "url", "url,credentials"]
