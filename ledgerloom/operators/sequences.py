@@ -10,15 +10,35 @@ def _by(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def collector_sequence(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """`sequence` from 0, in order of arrival, across the channels of a session."""
-    return df.withColumn("sequence", (F.row_number().over(_by(keys, order)) - 1).cast("long"))
+def collector_sequence(df: DataFrame, keys: list[str], order: str, width: int | None = None) -> DataFrame:
+    """`sequence` from 0, in order of arrival, across the channels of a session.
+
+    With `width` a session is cut every so many units of a whole-number order: parts are numbered on their own and begin
+    where the counts of those before them end, so a long session is no single task.
+    """
+    if width is None:
+        return df.withColumn("sequence", (F.row_number().over(_by(keys, order)) - 1).cast("long"))
+    own, part = [*keys, "_part"], df.withColumn("_part", F.floor(F.col(order) / width))
+    before = F.sum("_n").over(_by(keys, "_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = part.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0)))
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in own]
+    numbered = part.withColumn("_row", F.row_number().over(_by(own, order))).alias("p").join(starts.alias("s"), on)
+    return numbered.select(*(F.col(f"p.{c}") for c in df.columns), (F.col("p._row") - 1 + F.col("s._start")).cast("long").alias("sequence"))
 
 
-def gaps(df: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """keys, missing_first, missing_last for each run of missing numbers; repeats are no gap."""
-    before = F.lag(sequence).over(_by(keys, sequence))
-    return df.withColumn("_before", before).filter(F.col(sequence) > F.col("_before") + 1).select(*keys, (F.col("_before") + 1).alias("missing_first"), (F.col(sequence) - 1).alias("missing_last"))
+def gaps(df: DataFrame, keys: list[str], sequence: str, width: int | None = None) -> DataFrame:
+    """keys, missing_first, missing_last for each run of missing numbers; repeats are no gap.
+
+    With `width` a session is cut every so many numbers: gaps within a part are found part by part, those between parts
+    from the least and greatest number of each, so a long session is no single task.
+    """
+    told = lambda found, at: found.filter(F.col(at) > F.col("_before") + 1).select(*keys, (F.col("_before") + 1).alias("missing_first"), (F.col(at) - 1).alias("missing_last"))
+    if width is None:
+        return told(df.withColumn("_before", F.lag(sequence).over(_by(keys, sequence))), sequence)
+    own, part = [*keys, "_part"], df.select(*keys, sequence, F.floor(F.col(sequence) / width).alias("_part"))
+    inside = told(part.withColumn("_before", F.lag(sequence).over(_by(own, sequence))), sequence)
+    ends = part.groupBy(*own).agg(F.min(sequence).alias("_least"), F.max(sequence).alias("_most"))
+    return inside.unionByName(told(ends.withColumn("_before", F.lag("_most").over(_by(keys, "_part"))), "_least"))
 
 
 def regressions(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -9,6 +9,8 @@ from ..operators import graph, joins, sequences, views
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Numbers of a session that one task takes.
+PART = 1 << 20
 
 
 def query(sql: str | None = None):
@@ -43,12 +45,12 @@ def live_after_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sequence FROM events")
 def collector_sequence(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.collector_sequence(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+    return sequences.collector_sequence(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id", PART)
 
 
 @query("SELECT user_id, before + 1 AS missing_first, event_id - 1 AS missing_last FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_id > before + 1")
 def sequence_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.gaps(table(spark, sf, "events"), ["user_id"], "event_id")
+    return sequences.gaps(table(spark, sf, "events"), ["user_id"], "event_id", PART)
 
 
 @query("""WITH b AS (SELECT user_id, event_id // 4096 AS block, sha256(string_agg(event_type || ':' || event_id, '|' ORDER BY event_id)) AS digest FROM events GROUP BY ALL)

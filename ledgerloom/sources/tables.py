@@ -56,12 +56,17 @@ def offered_manifests(committed: DataFrame, offered: DataFrame, key: str, first:
     return met.withColumn("outcome", outcome).drop("_there", "_head", "_last")
 
 
-def replay_digest(facts: DataFrame, keys: list[str], row: Column) -> DataFrame:
-    """keys, facts, digest: a digest of a bag of rows that is the same for every order and partitioning of them.
+def bag_digest(row: Column) -> Column:
+    """Aggregate: a digest of a bag of rows that is the same for every order and partitioning of them.
 
     The first 60 bits and the next 60 of each row's SHA-256 are summed, so partial sums meet in the shuffle and no key
     is gathered. Nulls count as the text `null`.
     """
     sha = F.sha2(F.coalesce(row.cast("string"), F.lit("null")), 256)
     total = lambda at: F.sum(F.conv(F.substring(sha, at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
-    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("facts"), F.concat_ws(":", total(1), total(16)).alias("digest"))
+    return F.concat_ws(":", total(1), total(16))
+
+
+def replay_digest(facts: DataFrame, keys: list[str], row: Column) -> DataFrame:
+    """keys, facts, digest: what two replays of the same input must have in common."""
+    return facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("facts"), bag_digest(row).alias("digest"))

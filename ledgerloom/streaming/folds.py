@@ -92,6 +92,11 @@ def alert_step(rule: dict) -> Step:
     return step
 
 
+def alert_of_row(state: dict, row: dict) -> tuple[dict, list[dict]]:
+    """The alert step by the rule that each row brings with it."""
+    return alert_step(row["rule"])(state, row)
+
+
 def coverage_step(state: dict, row: dict) -> tuple[dict, list[dict]]:
     """Gap ledger: open {action, at, revision}; close also needs evidence. Appends revisions, never edits one."""
     if row["revision"] <= state.get("revision", 0):
@@ -360,17 +365,25 @@ def _packed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.select(*keys, F.col(order).alias("_order"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_row"))
 
 
-def fold_batch(df: DataFrame, keys: list[str], order: str, step: Step, schema: str) -> DataFrame:
-    """Rows that the step tells, by key, in order; keys lead the schema. A key's rows are one sequence by nature."""
+def fold_batch(df: DataFrame, keys: list[str], order: str, step: Step, schema: str, refusals: bool = False) -> DataFrame:
+    """Rows that the step tells, by key, in order; keys lead the schema. A key's rows are one sequence by nature.
+
+    A refused row fails the query, or, with `refusals`, makes its key one row with only a `fault`.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         state, out = {}, []
         own = {k: rows[k].iloc[0] for k in keys}
-        for row in rows.sort_values("_order", kind="stable")["_row"]:
-            state, told = step(state, json.loads(row))
-            out += [own | t for t in told]
-        return pd.DataFrame(out, columns=names)
+        try:
+            for row in rows.sort_values("_order", kind="stable")["_row"]:
+                state, told = step(state, json.loads(row))
+                out += [own | t for t in told]
+        except Refused as e:
+            if not refusals:
+                raise
+            out = [own | {"fault": str(e)}]
+        return pd.DataFrame(out, columns=names).astype(object)
 
     return _packed(df, keys, order).groupBy(*keys).applyInPandas(run, schema)
 
