@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ def _by(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def _after_parts(df: DataFrame, keys: list[str], order: str, width: int, total: Column, combine: Callable, own: Callable) -> DataFrame:
+    """df with `_own`, a window's value within the row's part of its session, and `_carry`, what the parts before come to.
+
+    A part is so many units of a whole-number order; `total` sums one up, and only these sums of a session meet.
+    """
+    by = [*keys, "_part"]
+    part = df.withColumn("_part", F.floor(F.col(order) / width))
+    before = combine("_n").over(_by(keys, "_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = part.groupBy(*by).agg(total.alias("_n")).withColumn("_carry", before)
+    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in by]
+    met = part.withColumn("_own", own(_by(by, order))).alias("p").join(sums.alias("s"), on)
+    return met.select(*(F.col(f"p.{c}") for c in (*df.columns, "_own")), "s._carry")
+
+
 def collector_sequence(df: DataFrame, keys: list[str], order: str, width: int | None = None) -> DataFrame:
     """`sequence` from 0, in order of arrival, across the channels of a session.
 
@@ -18,12 +34,8 @@ def collector_sequence(df: DataFrame, keys: list[str], order: str, width: int |
     """
     if width is None:
         return df.withColumn("sequence", (F.row_number().over(_by(keys, order)) - 1).cast("long"))
-    own, part = [*keys, "_part"], df.withColumn("_part", F.floor(F.col(order) / width))
-    before = F.sum("_n").over(_by(keys, "_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = part.groupBy(*own).agg(F.count(F.lit(1)).alias("_n")).withColumn("_start", F.coalesce(before, F.lit(0)))
-    on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in own]
-    numbered = part.withColumn("_row", F.row_number().over(_by(own, order))).alias("p").join(starts.alias("s"), on)
-    return numbered.select(*(F.col(f"p.{c}") for c in df.columns), (F.col("p._row") - 1 + F.col("s._start")).cast("long").alias("sequence"))
+    parts = _after_parts(df, keys, order, width, F.count(F.lit(1)), F.sum, lambda w: F.row_number().over(w))
+    return parts.select(*df.columns, (F.col("_own") - 1 + F.coalesce("_carry", F.lit(0))).cast("long").alias("sequence"))
 
 
 def gaps(df: DataFrame, keys: list[str], sequence: str, width: int | None = None) -> DataFrame:
@@ -41,10 +53,15 @@ def gaps(df: DataFrame, keys: list[str], sequence: str, width: int | None = None
     return inside.unionByName(told(ends.withColumn("_before", F.lag("_most").over(_by(keys, "_part"))), "_least"))
 
 
-def regressions(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """df with `highest` (before this row) and `accepted`: the value exceeds it, or is the first."""
-    before = F.max(value).over(_by(keys, order).rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("highest", before).withColumn("accepted", F.col("highest").isNull() | (F.col(value) > F.col("highest")))
+def regressions(df: DataFrame, keys: list[str], order: str, value: str, width: int | None = None) -> DataFrame:
+    """df with `highest` (before this row) and `accepted`: the value exceeds it, or is the first. `width` cuts long sessions."""
+    last = lambda w: F.max(value).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if width is None:
+        told = df.withColumn("highest", last(_by(keys, order)))
+    else:
+        parts = _after_parts(df, keys, order, width, F.max(value), F.max, last)
+        told = parts.select(*df.columns, F.greatest("_own", "_carry").alias("highest"))
+    return told.withColumn("accepted", F.col("highest").isNull() | (F.col(value) > F.col("highest")))
 
 
 def runs(df: DataFrame, keys: list[str], order: str, hit: Column) -> DataFrame:

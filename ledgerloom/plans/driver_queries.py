@@ -107,7 +107,7 @@ def mempool_epochs(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH m AS (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest FROM events)
 SELECT *, highest IS NULL OR value > highest AS accepted FROM m""")
 def monotone_guard(spark: SparkSession, sf: str) -> DataFrame:
-    return sequences.regressions(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value")
+    return sequences.regressions(table(spark, sf, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", PART)
 
 
 @query("SELECT user_id, event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS safe_point FROM events")

@@ -13,7 +13,10 @@ def test_parts_of_a_session_change_nothing(spark, width):
     chance = random.Random(3)
     rows = [(k, n) for k in ("a", "b", None) for n in chance.sample(range(300), 90)]
     df = spark.createDataFrame(rows, "k string, n long").repartition(5)
-    for f in (sequences.collector_sequence, sequences.gaps):
+    def highest(df, keys, order, width):
+        return sequences.regressions(df.withColumn("v", df.n * 37 % 101), keys, order, "v", width)
+
+    for f in (sequences.collector_sequence, sequences.gaps, highest):
         whole, parts = (sorted(map(str, f(df, ["k"], "n", w).collect())) for w in (None, width))
         assert whole == parts
     twice = df.unionByName(df)
