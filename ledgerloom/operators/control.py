@@ -136,4 +136,4 @@ def evaluation_id(domain: str) -> Column:
 
 def outbox_key(domain: str, evaluation: Column, transition: Column) -> Column:
     """Idempotency key of a delivery; null for a transition that is not delivered."""
-    return F.when(transition.isin(*DELIVERED), blake3_hex(codecs.framed(F.lit(domain), evaluation)))
+    return blake3_hex(F.when(transition.isin(*DELIVERED), codecs.framed(F.lit(domain), evaluation)))
