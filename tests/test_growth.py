@@ -5,7 +5,7 @@ import struct
 import time
 
 from ledgerloom.functions import identity
-from ledgerloom.operators import control
+from ledgerloom.operators import control, rules
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,10 @@ def test_many_digests_go_side_by_side(spark, monkeypatch):
     assert len(identity.blake3_many(values[:14])) == 14
     ids = spark.range(20_000, numPartitions=1).select(identity.blake3_hex(F.repeat(F.lit("ab"), 160).cast("binary")), control.outbox_key("o", F.col("id").cast("string"), F.lit("pending")).alias("key"))
     assert _seconds(ids) < 12 and ids.filter("key IS NOT NULL").isEmpty()
+
+
+def test_many_alert_ids(spark):
+    e = spark.range(40_000, numPartitions=1).select("id", F.lit("n").alias("network"), F.repeat(F.lit("x"), 150).alias("disconnected_tip_hash"), F.col("id").alias("revision"), F.lit(9).alias("reorg_depth"), F.lit("complete").alias("completeness"))
+    a = rules.reorg_alerts(e, "deep", 4).select("id", "alert_id")
+    assert _seconds(a) < 12
+    assert a.filter("id = 7").first()[1] == identity.blake3(b"\0".join([b"deep", b"n", b"x" * 150, b"7"])).hex()
