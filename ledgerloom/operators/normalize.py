@@ -6,12 +6,13 @@ the query, as does an input that breaks a limit of its domain.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codecs import truth_is_consistent
 from ..functions.consensus import parse_blocks
-from ..functions.identity import blake3
+from ..functions.identity import blake3_known
 
 # Parser versions, coverage tiers, domain limits.
 FIXTURE, BITCOIN, EVM, SOLANA = "fixture-native/1.0.0", "bitcoin-native/1.0.0", "evm-native/1.0.0", "solana-native/1.0.0"
@@ -155,7 +156,7 @@ def fixture_facts(observations: DataFrame) -> DataFrame:
 
     @F.pandas_udf("binary")
     def digest(data):
-        return data.map(lambda x: blake3(bytes(x)))
+        return pd.Series(blake3_known(data), dtype=object)
 
     key = o.withColumn("_key", digest(F.concat(F.lit("fixture/v1"), F.col("_b.fixture_id")).cast("binary")))
     named = key.withColumn("_id", digest(F.concat(F.lit(b"fact/v1"), F.col("_key"), F.unhex(F.lit("0000000000000001")), F.col("observation_id"))))

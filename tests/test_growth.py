@@ -5,7 +5,7 @@ import struct
 import time
 
 from ledgerloom.functions import identity
-from ledgerloom.operators import control, rules
+from ledgerloom.operators import control, normalize, rules
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,16 @@ def test_many_alert_ids(spark):
     a = rules.reorg_alerts(e, "deep", 4).select("id", "alert_id")
     assert _seconds(a) < 12
     assert a.filter("id = 7").first()[1] == identity.blake3(b"\0".join([b"deep", b"n", b"x" * 150, b"7"])).hex()
+
+
+def test_many_fixture_facts(spark):
+    body = F.concat(F.lit('{"fixture_id": "f'), "id", F.lit('", "value": "v", "source_sequence": '), "id", F.lit("}"))
+    o = spark.range(20_000, numPartitions=1).select(
+        body.cast("binary").alias("payload"), F.col("id").alias("source_sequence"), F.unhex(F.sha2(body, 256)).alias("observation_id"), F.unhex(F.md5(body)).alias("source_session_id"),
+        F.lit("c").alias("chain"), F.lit("n").alias("network"), F.lit("s").alias("source_id"), F.lit(1).alias("observed_at_unix_ns"), F.lit(2).alias("durable_at_unix_ns"),
+    )
+    f = normalize.fixture_facts(o)
+    assert _seconds(f) < 10
+    one = f.filter("source_sequence = 7").first()
+    key = identity.fact_key("f7")
+    assert one.fact_key == key.hex() and one.fact_id == identity.fact_id(key, 1, bytes.fromhex(one.observation_id)).hex()
