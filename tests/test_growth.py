@@ -43,3 +43,9 @@ def test_many_fixture_facts(spark):
     one = f.filter("source_sequence = 7").first()
     key = identity.fact_key("f7")
     assert one.fact_key == key.hex() and one.fact_id == identity.fact_id(key, 1, bytes.fromhex(one.observation_id)).hex()
+
+
+def test_many_observation_ids(spark):
+    made = spark.range(40_000, numPartitions=1).select("id", identity.observation_ids(F.lit("s" * 100), F.lit(bytes(16)), F.col("id"), F.col("id").cast("string").cast("binary")).alias("o"))
+    assert _seconds(made) < 12
+    assert made.filter("id = 7").first()[1] == identity.observation_id("s" * 100, bytes(16), 7, b"7").hex()
