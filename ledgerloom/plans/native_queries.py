@@ -66,17 +66,11 @@ def page_cursors(spark: SparkSession, sf: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def made(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: identity.cursor(t.encode()))
+        return pd.Series(identity.cursors([t.encode() for t in text]), dtype=object)
 
     @F.pandas_udf("boolean")
     def good(cursors: pd.Series) -> pd.Series:
-        def holds(c: str) -> bool:
-            try:
-                return bool(identity.read_cursor(c))
-            except ValueError:
-                return False
-
-        return cursors.map(holds)
+        return pd.Series(identity.good_cursors(list(cursors)), dtype=bool)
 
     c = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("page:"), _text("c_custkey")).alias("payload")).withColumn("cursor", made("payload"))
     return c.withColumn("valid", good(F.when(F.col("c_custkey") % 2 == 0, F.col("cursor")).otherwise(F.concat(F.lit("00"), F.col("cursor")))))

@@ -49,3 +49,20 @@ def test_many_observation_ids(spark):
     made = spark.range(40_000, numPartitions=1).select("id", identity.observation_ids(F.lit("s" * 100), F.lit(bytes(16)), F.col("id"), F.col("id").cast("string").cast("binary")).alias("o"))
     assert _seconds(made) < 12
     assert made.filter("id = 7").first()[1] == identity.observation_id("s" * 100, bytes(16), 7, b"7").hex()
+
+
+def test_many_cursors(spark, tmp_path):
+    from ledgerloom.plans import native_queries  # here, or its queries would join those of test_engine
+
+    texts = [identity.cursor(b"page:1"), "00" + identity.cursor(b"page:1"), "00.00", "zz.00", "", identity.cursor(b"")]
+
+    def reads(t: str) -> bool:
+        try:
+            return identity.read_cursor(t) is not None
+        except ValueError:
+            return False
+
+    assert identity.good_cursors(texts) == [reads(t) for t in texts]
+    assert identity.cursors([b"page:1", b""]) == [texts[0], texts[5]]
+    spark.range(40_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert _seconds(native_queries.page_cursors(spark, str(tmp_path))) < 12
