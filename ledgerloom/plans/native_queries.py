@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import groups
 from ..functions import codecs, consensus, identity
 from ..operators import control, graph, joins, normalize, rules, sequences, views
 from ..sources import archives, records, segments
@@ -271,19 +276,38 @@ SELECT user_id::VARCHAR AS source_id, n AS collector_sequence, event_id AS paylo
 def segment_recovery(spark: SparkSession, sf: str) -> DataFrame:
     """A log segment a user, with a commit after every fourth record: what a reader recovers, and no more."""
     e = sequences.collector_sequence(table(spark, sf, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+    session = bytes(16)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        user, session = int(rows["user_id"].iloc[0]), bytes(16)
-        w = segments.SegmentWriter(session)
-        for n, event in rows.sort_values("sequence")[["sequence", "event_id"]].itertuples(index=False):
-            w.append({"schema_version": 1, "observation_id": bytes(32), "source_id": str(user), "source_session_id": session, "collector_sequence": int(n), "chain": "c", "network": "n", "channel": "x", "source_message_type": "t", "observed_at_unix_ns": 1, "observed_at_monotonic_ns": 1, "payload_hash": bytes(32), "payload": str(event).encode(), "attributes": {}, "quality_flags": []})
-            if n % 4 == 3:
-                w.commit(int(n) // 4)
-        got = [r for kind, r in segments.recover(bytes(w.data)) if kind == "row"]
-        again = list(archives.unpack(archives.pack(got)))
-        return pd.DataFrame([(r["source_id"], r["collector_sequence"], int(r["payload"]), r["durable_at_unix_ns"]) for r in again], columns=["source_id", "collector_sequence", "payload", "durable_at"])
+    def users(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        for user, rows in itertools.groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[0]):
+            yield user, [r[1:] for r in rows]
 
-    return e.groupBy("user_id").applyInPandas(run, "source_id string, collector_sequence long, payload long, durable_at long")
+    def written(user: int, rows: list[tuple[int, int]]) -> segments.SegmentWriter:
+        w = segments.SegmentWriter(session, later=True)
+        for n, event in rows:
+            w.append({"schema_version": 1, "observation_id": bytes(32), "source_id": str(user), "source_session_id": session, "collector_sequence": n, "chain": "c", "network": "n", "channel": "x", "source_message_type": "t", "observed_at_unix_ns": 1, "observed_at_monotonic_ns": 1, "payload_hash": bytes(32), "payload": str(event).encode(), "attributes": {}, "quality_flags": []})
+            if n % 4 == 3:
+                w.commit(n // 4)
+        return w
+
+    def told(writers: list[segments.SegmentWriter]) -> pa.RecordBatch:
+        segments.settle(writers)
+        again = [r for got in segments.recover_many([bytes(w.data) for w in writers]) for r in archives.unpack(archives.pack([r for kind, r in got if kind == "row"]))]
+        columns = ([r["source_id"] for r in again], [r["collector_sequence"] for r in again], [int(r["payload"]) for r in again], [r["durable_at_unix_ns"] for r in again])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["source_id", "collector_sequence", "payload", "durable_at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for user, own in users(batches):
+            held.append(written(user, own))
+            rows += len(own)
+            if rows >= 8192:  # whole segments, so that their hashes are made side by side
+                yield told(held)
+                held, rows = [], 0
+        if held:
+            yield told(held)
+
+    return groups.gathered(e, ["user_id"], "sequence").select("user_id", "sequence", "event_id").mapInArrow(run, "source_id string, collector_sequence long, payload long, durable_at long")
 
 
 @query("""WITH c AS (SELECT l_orderkey, l_linenumber * 10 AS lo, l_linenumber * 10 + 4 AS hi, md5(l_linenumber::VARCHAR) AS commit_hash FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),

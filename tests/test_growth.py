@@ -4,8 +4,10 @@ import os
 import struct
 import time
 
+import pytest
 from ledgerloom.functions import identity
 from ledgerloom.operators import control, normalize, rules
+from ledgerloom.sources import segments
 from pyspark.sql import functions as F
 
 
@@ -66,3 +68,44 @@ def test_many_cursors(spark, tmp_path):
     assert identity.cursors([b"page:1", b""]) == [texts[0], texts[5]]
     spark.range(40_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
     assert _seconds(native_queries.page_cursors(spark, str(tmp_path))) < 12
+
+
+def test_many_segments(spark, tmp_path):
+    values = os.urandom(3000)
+    row = lambda n: {"schema_version": 1, "observation_id": bytes(32), "source_id": "s", "source_session_id": bytes(16), "collector_sequence": n, "payload": str(n).encode() * 90}
+    writers = [[segments.SegmentWriter(bytes(16), later=later) for _ in range(3)] for later in (False, True)]
+    for k, w in [(k, w) for many in writers for k, w in enumerate(many)]:
+        for n in range(9 + k):
+            w.append(row(n))
+            if n % 4 == 3:
+                w.commit(n)
+    with pytest.raises(ValueError):
+        writers[1][0].seal()
+    segments.settle(writers[1])
+    data = [bytes(w.data) for w in writers[1]]
+    assert data == [bytes(w.data) for w in writers[0]]
+    assert segments.recover_many(data) == [list(segments.recover(d)) for d in data] and len(segments.recover_many(data)[0]) == 10
+    wrong = segments.SegmentWriter(bytes(16), later=True)  # the second hash stays blank
+    for n in range(8):
+        wrong.append(row(n))
+        if n % 4 == 3:
+            wrong.commit(n)
+            if n == 3:
+                segments.settle([wrong])
+    told = segments.recover(bytes(wrong.data))
+    assert [next(told)[1]["collector_sequence"] for _ in range(4)] == [0, 1, 2, 3]
+    with pytest.raises(segments.Corrupt, match="hash"):
+        next(told)
+    with pytest.raises(segments.Corrupt, match="hash"):
+        segments.recover_many([data[0], bytes(wrong.data)])
+    for size in (3, 4, 1023, 1024, 1025, 1027, 3000):
+        c = 0xFFFFFFFF
+        for b in values[:size]:
+            c = identity._CRC[(c ^ b) & 255] ^ c >> 8
+        assert identity.crc32c(values[:size]) == c ^ 0xFFFFFFFF
+    from ledgerloom.plans import native_queries
+
+    spark.range(8000).selectExpr("id AS event_id", "id % 200 AS user_id").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    q = native_queries.segment_recovery(spark, str(tmp_path))
+    assert _seconds(q) < 6 and q.count() == 8000
+    assert q.rdd.getNumPartitions() >= 8  # one group's work in Python is no reason to merge tasks
