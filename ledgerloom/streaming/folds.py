@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import copy
 import hashlib
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from .. import groups
 from ..functions.consensus import INTERVAL, next_target, proves_work
 from ..functions.identity import block_work
 
@@ -365,27 +370,45 @@ def _packed(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.select(*keys, F.col(order).alias("_order"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("_row"))
 
 
+#: Rows told before they leave a task.
+TOLD = 8192
+
+
 def fold_batch(df: DataFrame, keys: list[str], order: str, step: Step, schema: str, refusals: bool = False) -> DataFrame:
     """Rows that the step tells, by key, in order; keys lead the schema. A key's rows are one sequence by nature.
 
-    A refused row fails the query, or, with `refusals`, makes its key one row with only a `fault`.
+    A refused row fails the query, or, with `refusals`, makes its key one row with only a `fault`. Keys follow each other in a
+    task, so many small ones cost no more than their rows.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def told(own: dict, rows: Iterator[str]) -> list[dict]:
         state, out = {}, []
-        own = {k: rows[k].iloc[0] for k in keys}
         try:
-            for row in rows.sort_values("_order", kind="stable")["_row"]:
-                state, told = step(state, json.loads(row))
-                out += [own | t for t in told]
+            for row in rows:
+                state, more = step(state, json.loads(row))
+                out += [own | t for t in more]
         except Refused as e:
             if not refusals:
                 raise
             out = [own | {"fault": str(e)}]
-        return pd.DataFrame(out, columns=names).astype(object)
-
-    return _packed(df, keys, order).groupBy(*keys).applyInPandas(run, schema)
+        return out
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        out: list[dict] = []
+        for _, same in itertools.groupby(rows, key=lambda r: r[0]):
+            first = next(same)
+            out += told(dict(zip(keys, first[2:], strict=True)), itertools.chain([first[1]], (r[1] for r in same)))
+            if len(out) >= TOLD:
+                yield pa.RecordBatch.from_pylist(out, kind)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    # Keys are told apart by their JSON, in which any two that Spark holds for equal agree.
+    packed = groups.gathered(_packed(df, keys, order), keys, "_order").select(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), "_row", *keys)
+    return packed.mapInArrow(run, schema)
 
 
 def fold_stream(df: DataFrame, keys: list[str], order: str, step: Step, schema: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from ledgerloom.functions import identity
 from ledgerloom.operators import control, normalize, rules
 from ledgerloom.sources import segments
+from ledgerloom.streaming import folds
 from pyspark.sql import functions as F
 
 
@@ -109,3 +110,14 @@ def test_many_segments(spark, tmp_path):
     q = native_queries.segment_recovery(spark, str(tmp_path))
     assert _seconds(q) < 6 and q.count() == 8000
     assert q.rdd.getNumPartitions() >= 8  # one group's work in Python is no reason to merge tasks
+
+
+def test_many_small_folds(spark):
+    """Keys beyond 2**53 beside a null, refused rows in the middle, and more keys than one Python group each allows in the time."""
+    step = lambda state, row: (_ for _ in ()).throw(folds.Refused("no")) if row["v"] == 5 else ({"n": state.get("n", 0) + 1}, [{"n": state.get("n", 0) + 1, "v": row["v"]}])
+    rows = [(2**60 + 1, 2, 1), (2**60 + 1, 1, 3), (None, 1, 7), (None, 2, 8), (4, 1, 1), (4, 2, 5), (4, 3, 6)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    got = folds.fold_batch(df, ["k"], "o", step, "k long, n long, v long, fault string", refusals=True).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(2**60 + 1, 1, 3, None), (2**60 + 1, 2, 1, None), (None, 1, 7, None), (None, 2, 8, None), (4, None, None, "no")], key=str)
+    many = folds.fold_batch(spark.range(40_000).selectExpr("id div 2 AS k", "id AS o", "id + 10 AS v"), ["k"], "o", step, "k long, n long, v long")
+    assert _seconds(many) < 15 and many.filter("n = 2").count() == 20_000 and many.rdd.getNumPartitions() >= 8
