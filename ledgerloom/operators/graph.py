@@ -1,7 +1,13 @@
-"""Paths, roots and components, by pointer doubling and star contraction: a logarithmic number of joins."""
+"""Paths, roots and components, by pointer doubling and star contraction, a logarithmic number of joins; marks above and below by ranges of nodes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,35 +74,95 @@ def _jumps(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return at.select("node", F.when(F.col("_known") != F.col("node"), F.col("_known")).alias("next"))
 
 
-def above(nodes: DataFrame, node: str, parent: str, tips: DataFrame) -> DataFrame:
-    """node: the tips (one column) that are nodes, and every ancestor of one.
+#: Nodes that one task resolves in memory.
+PART = 1 << 19
 
-    What is known doubles its reach each round, so the paths of all tips together take log2(depth) joins and hold each
-    node once; unlike `ancestors` no pairs are made.
-    """
-    jump = cut(_jumps(nodes, node, parent))
-    limit = jump.count().bit_length() + 1
-    found = cut(jump.join(tips.toDF("node").distinct(), "node", "left_semi").select("node"))
-    for _ in range(limit):
-        new = found.join(jump.filter("next IS NOT NULL"), "node").select(F.col("next").alias("node")).distinct().join(found, "node", "left_anti")
-        grown = cut(found.unionByName(new))
-        step = jump.select(F.col("node").alias("_at"), F.col("next").alias("_next"))
-        jump = cut(jump.join(step, F.col("next") == F.col("_at"), "left").select("node", F.col("_next").alias("next")))
-        if jump.filter("next IS NOT NULL").isEmpty():
-            return grown
-        found = grown
-    raise ValueError("parents form a cycle")
+
+def above(nodes: DataFrame, node: str, parent: str, tips: DataFrame) -> DataFrame:
+    """node: the tips (one column) that are nodes, and every ancestor of one; unlike `ancestors` no pairs are made."""
+    return _marked(_with_marks(nodes, node, parent, tips), down=False).filter("hit").select("node").distinct()
 
 
 def below(nodes: DataFrame, node: str, parent: str, roots: DataFrame) -> DataFrame:
-    """node: the roots (one column) that are nodes, and every descendant of one, by pointer doubling."""
-    marks = roots.toDF("_root").distinct()
-    jump = _jumps(nodes, node, parent).join(marks, F.col("node") == F.col("_root"), "left")
-    jump = cut(jump.select("node", "next", F.col("_root").isNotNull().alias("hit")))
+    """node: the roots (one column) that are nodes, and every descendant of one."""
+    return _marked(_with_marks(nodes, node, parent, roots), down=True).filter("hit").select("node")
+
+
+def _with_marks(nodes: DataFrame, node: str, parent: str, marks: DataFrame) -> DataFrame:
+    """node, next (null for a node that is its own parent), hit."""
+    kind = nodes.schema[node].dataType
+    at = nodes.select(F.col(node).alias("node"), F.when(F.col(parent) != F.col(node), F.col(parent)).cast(kind).alias("next"))
+    met = at.join(marks.toDF("_mark").distinct(), F.col("node") == F.col("_mark"), "left")
+    return met.select("node", "next", F.col("_mark").isNotNull().alias("hit"))
+
+
+def _marked(marks: DataFrame, down: bool) -> DataFrame:
+    """node, hit: whether a node or an ancestor of it (down), or a descendant of it (else), is marked.
+
+    Nodes are dealt by ranges, and each task follows its own as far as they go. What is left are the nodes that others
+    outside their range stand on: these make a smaller tree, which is marked alike, and its marks go back into the ranges.
+    So nodes cross the network a few times, not once a doubling. Where ranges hold no paths (most nodes are such nodes), or
+    a node has several parents, pointers are doubled over all nodes instead.
+    """
+    marks = cut(marks)
+    n = marks.count()
+    parts = max(-(-n // PART), 1)
+    kind = marks.schema["node"].dataType.simpleString()
+    schema = f"node {kind}, next {kind}, exit {kind}, hit boolean, part int, twice boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        own, following, hit = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+        at = pc.fill_null(pc.index_in(following, value_set=own, skip_nulls=True), -1).to_numpy(zero_copy_only=False)
+        here, hit = np.arange(len(own)), hit.to_numpy(zero_copy_only=False).copy()
+        ends = at < 0
+        jump = np.where(ends, here, at)
+        for _ in range(len(own).bit_length() + 1):
+            if down:
+                hit |= hit[jump]
+            else:
+                hit[jump[hit]] = True
+            further = jump[jump]
+            if (further == jump).all():
+                break
+            jump = further
+        exits = following.take(pa.array(np.where(ends[jump], jump, here)))  # a node on a cycle keeps its own parent
+        part, twice = np.full(len(own), TaskContext.get().partitionId(), np.int32), np.full(len(own), len(own.unique()) < len(own))
+        for first in range(0, len(own), 65_536):
+            yield pa.RecordBatch.from_arrays([c[first : first + 65_536] for c in (own, following, exits, pa.array(hit), pa.array(part), pa.array(twice))], ["node", "next", "exit", "hit", "part", "twice"])
+
+    dealt = marks.repartitionByRange(parts, "node") if parts > 1 else marks.coalesce(1)
+    told = cut(dealt.mapInArrow(run, schema))
+    given = told.filter("exit IS NOT NULL").groupBy(F.col("exit").alias("_exit")).agg(F.bool_or("hit").alias("_given"))
+    ports = cut(told.join(given, F.col("node") == F.col("_exit")).select("node", F.col("exit").alias("next"), F.col("hit" if down else "_given").alias("hit")))
+    left = ports.count()
+    if left > n // 2 or not told.filter("twice").isEmpty():
+        return _doubled(marks, down)
+    if not left:
+        return told.select("node", "hit")
+    if parts == 1:
+        raise ValueError("parents form a cycle")
+    found = _marked(ports, down).filter("hit").select(F.col("node").alias("_port"))
+    more = F.col("hit") | F.col("_port").isNotNull()
+    if down:
+        return told.join(found, F.col("exit") == F.col("_port"), "left").select("node", more.alias("hit"))
+    met = told.join(found, F.col("node") == F.col("_port"), "left").select("node", "next", more.alias("hit"), "part")
+    return met.repartition(parts, "part").select("node", "next", "hit").mapInArrow(run, schema).select("node", "hit")
+
+
+def _doubled(marks: DataFrame, down: bool) -> DataFrame:
+    """The same by pointer doubling: log2(depth) joins of all nodes."""
+    jump = cut(_jumps(marks, "node", "next").join(marks.select(F.col("node").alias("_node"), "hit").filter("hit").distinct(), F.col("node") == F.col("_node"), "left").select("node", "next", F.col("_node").isNotNull().alias("hit")))
     limit = jump.count().bit_length() + 1
+    found = None if down else cut(jump.filter("hit").select("node").distinct())
     for _ in range(limit):
         if jump.filter("next IS NOT NULL").isEmpty():
-            return jump.filter("hit").select("node")
+            return jump.select("node", "hit") if down else found.select("node", F.lit(True).alias("hit"))
+        if not down:
+            new = found.join(jump.filter("next IS NOT NULL"), "node").select(F.col("next").alias("node")).distinct().join(found, "node", "left_anti")
+            found = cut(found.unionByName(new))
         step = jump.select(F.col("node").alias("_at"), F.col("next").alias("_next"), F.col("hit").alias("_hit"))
         far = jump.join(step, F.col("next") == F.col("_at"), "left")
         jump = cut(far.select("node", F.col("_next").alias("next"), (F.col("hit") | F.coalesce("_hit", F.lit(False))).alias("hit")))

@@ -1,12 +1,13 @@
 """What the queries need on large tables: results as before, in time that grows with the input only."""
 
 import os
+import random
 import struct
 import time
 
 import pytest
 from ledgerloom.functions import identity
-from ledgerloom.operators import control, normalize, rules
+from ledgerloom.operators import control, graph, normalize, rules
 from ledgerloom.sources import segments
 from ledgerloom.streaming import folds
 from pyspark.sql import functions as F
@@ -121,3 +122,37 @@ def test_many_small_folds(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(2**60 + 1, 1, 3, None), (2**60 + 1, 2, 1, None), (None, 1, 7, None), (None, 2, 8, None), (4, None, None, "no")], key=str)
     many = folds.fold_batch(spark.range(40_000).selectExpr("id div 2 AS k", "id AS o", "id + 10 AS v"), ["k"], "o", step, "k long, n long, v long")
     assert _seconds(many) < 15 and many.filter("n = 2").count() == 20_000 and many.rdd.getNumPartitions() >= 8
+
+
+@pytest.mark.parametrize("far", [1, 3, 40, 1000])
+def test_marks_cross_ranges(spark, monkeypatch, far):
+    """Trees that run within ranges, and ones that leave them at every step, against walks node by node."""
+    monkeypatch.setattr(graph, "PART", 64)
+    r = random.Random(far)
+    up = {i: i - r.randrange(1, far + 1) for i in range(400)} | {500: 500, 501: None, 502: 501}
+    some = r.sample(sorted(up), 9)
+    nodes, marks = spark.createDataFrame(list(up.items()), "n long, p long"), spark.createDataFrame([(x,) for x in [*some, 9999, None]], "t long")
+
+    def path(x):
+        while x in up:
+            yield x
+            x = up[x] if up[x] != x else None
+
+    assert sorted(r[0] for r in graph.above(nodes, "n", "p", marks).collect()) == sorted({y for x in some for y in path(x)})
+    assert sorted(r[0] for r in graph.below(nodes, "n", "p", marks).collect()) == sorted(x for x in up if set(path(x)) & set(some))
+    names = nodes.selectExpr("concat('x', n) AS n", "concat('x', p) AS p")
+    assert graph.below(names, "n", "p", marks.selectExpr("concat('x', t)")).count() == sum(bool(set(path(x)) & set(some)) for x in up)
+
+
+def test_long_paths_take_few_jobs(spark, monkeypatch):
+    """The number of checkpoints does not follow the depth; a cycle over ranges is still an error, and two parents count both."""
+    made = []
+    monkeypatch.setattr(graph, "cut", lambda df: made.append(1) or df.checkpoint(eager=True))
+    chain = spark.range(200_000).selectExpr("id AS n", "id - 1 AS p")
+    assert graph.below(chain, "n", "p", spark.range(5, 6)).count() == 199_995 and graph.above(chain, "n", "p", spark.range(199_999, 200_000)).count() == 200_000
+    assert len(made) <= 6
+    monkeypatch.setattr(graph, "PART", 16)
+    with pytest.raises(ValueError):
+        graph.below(spark.range(100).selectExpr("id AS n", "(id + 1) % 100 AS p"), "n", "p", spark.range(1))
+    two = spark.createDataFrame([(1, None), (2, None), (3, 1), (3, 2), (4, 3)], "n long, p long")
+    assert sorted(r[0] for r in graph.above(two, "n", "p", spark.range(4, 5)).collect()) == [1, 2, 3, 4]
